@@ -1,6 +1,62 @@
-STAGES = []
+"""From raw documents to token ids: toxicity, line dedup, near dedup, mixing, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns the columns of the documents
+table, but for the last, which returns token ids. Stages are written as Parquet and read again in between.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from veldspar.llm import bpe, lines, minhash, mixing, toxicity
+from veldspar.runtime import Scratch, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from the labelled ones among them, doesn't reject."""
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
+    return scored.where("not toxic").select(*docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that too many of their source's documents contain."""
+    return lines.drop_boilerplate(docs).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near copies, and all that are like no other."""
+    scratch = Scratch(spark)
+    groups = minhash.near_duplicates(docs, scratch=scratch)
+    extra = scratch.keep(groups.where("not is_kept").select("doc_id"))
+    return docs.join(scratch.small(extra), "doc_id", "left_anti").select(*docs.columns)
+
+
+def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample in which sources, languages and topics have their target weights."""
+    return mixing.with_probability(docs).where("sampled").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether decoding gives its text back."""
+    return bpe.encode_column(docs, keep=["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate),
+    ("near_dedup", drop_near_copies),
+    ("mixing", sample_mixture),
+    ("bpe", encode),
+]
+
+#: SQL can't express the toxicity, near-copy and BPE stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for ``{sf_dir}/documents.parquet``."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
