@@ -15,8 +15,9 @@ byte-wise UTF-8 automaton; its transitions by token are memoised too.
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
-from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +32,10 @@ PATTERN = (
     r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MAX_STATES, MAX_WORDS, LONG_TEXT = 250_000, 400_000, 1 << 20
+MAX_STATES, MAX_WORDS, LONG_TEXT = 300_000, 350_000, 1 << 20
 NEVER = 1 << 60
 
 
-class _State(dict):
-    """Transitions by byte to (state, tokens emitted); ``final`` is emitted at the end of a pre-token."""
-
-    __slots__ = ("last", "live", "final")
-
-
 class Encoder:
     """Byte-level BPE from merge ranks (``{token bytes: rank}``)."""
 
@@ -51,28 +46,31 @@ class Encoder:
         if missing:
             raise ValueError(f"no token for {len(missing)} single bytes")
         self.split_text = regex.compile(pattern)
-        self.edges: dict[int, int] = {}  # node * 256 + byte -> node
-        self.token_at: dict[int, int] = {}
-        self.parent: set[int] = set()  # nodes with an edge
-        size = 1
+        #: node * 256 + byte -> (node, token that ends there or -1, whether an edge leaves it)
+        self.edges: dict[int, tuple[int, int, bool]] = {}
+        trie: dict[int, int] = {}
+        token_at: dict[int, int] = {}
+        parents: set[int] = set()
         for token, rank in ranks.items():
             node = 0
             for b in token:
-                at = node << 8 | b
-                self.parent.add(node)
-                node = self.edges.get(at)
-                if node is None:
-                    node = self.edges[at] = size
-                    size += 1
-            self.token_at[node] = rank
+                parents.add(node)
+                node = trie.setdefault(node << 8 | b, len(trie) + 1)
+            token_at[node] = rank
+        self.edges = {at: (node, token_at.get(node, -1), node in parents) for at, node in trie.items()}
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple, _State] = {}
-        self.start = self._state(-1, ((0, ()),))
+        #: state * 256 + byte -> (state, tokens emitted); numbers alone, so forgetting them frees them at once
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple[int, tuple]] = []
+        self.finals: list[tuple[int, ...]] = []
+        self._state(-1, ((0, ()),))
 
     # --- which tokens may follow each other -----------------------------------------------------------
 
@@ -127,77 +125,95 @@ class Encoder:
 
     # --- the transducer -------------------------------------------------------------------------------
 
-    def _state(self, last: int, live: tuple) -> _State:
+    def _state(self, last: int, live: tuple) -> int:
         key = (last, live)
-        state = self.states.get(key)
-        if state is None:
-            state = self.states[key] = _State()
-            state.last, state.live, state.final = last, live, live[-1][1]
-        return state
-
-    def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.states)
+            self.states.append(key)
+            self.finals.append(live[-1][1])
+        return number
+
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        last, before = self.states[state]
+        edge, pairs = self.edges.get, self.pairs.get
         live, ended = [], None
-        for node, chosen in state.live:
-            node = self.edges.get(node << 8 | byte)
-            if node is None:
+        for node, chosen in before:
+            after = edge(node << 8 | byte)
+            if after is None:
                 continue
-            token = self.token_at.get(node)
-            if token is not None and ended is None:
-                before = chosen[-1] if chosen else state.last
-                if self._reachable(token) if before < 0 else self._may_follow(before, token):
+            node, token, goes_on = after
+            if token >= 0 and ended is None:
+                left = chosen[-1] if chosen else last
+                fits = self._reachable(token) if left < 0 else pairs(left << 32 | token)
+                if fits is None:
+                    fits = self._may_follow(left, token)
+                if fits:
                     ended = (*chosen, token)
-            if node in self.parent:
+            if goes_on:
                 live.append((node, chosen))
-        live.append((0, ended))
-        sure = 0
-        if len(live) == 1:
-            sure = len(ended)
-        else:
-            for column in zip(*(chosen for _, chosen in live)):
-                if column.count(column[0]) < len(column):
-                    break
+        if live:
+            sure, most = 0, min(len(ended), min(len(c) for _, c in live))
+            while sure < most and all(c[sure] == ended[sure] for _, c in live):
                 sure += 1
+            if sure:
+                live = [(node, c[sure:]) for node, c in live]
+            live.append((0, ended[sure:]))
+        else:
+            sure = len(ended)
+            live.append((0, ()))
         emitted = ended[:sure]
-        last = emitted[-1] if emitted else state.last
+        if sure:
+            last = emitted[-1]
         if len(self.states) > MAX_STATES:
             self._reset()
-        out = self._state(last, tuple((node, chosen[sure:]) for node, chosen in live)), emitted
-        state[byte] = out
+            return self._state(last, tuple(live)), emitted
+        out = self.moves[state << 8 | byte] = self._state(last, tuple(live)), emitted
         return out
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """Tokens of one pre-token, in time linear in its length."""
-        state, out = self.start, []
+        state, out, move = 0, [], self.moves.get
         for b in data:
-            after = state.get(b)
+            after = move(state << 8 | b)
             if after is None:
                 after = self._step(state, b)
+                move = self.moves.get
             state, emitted = after
             if emitted:
                 out += emitted
-        out += state.final
+        out += self.finals[state]
         return out
 
     def _word(self, word: str) -> tuple[int, ...]:
-        tokens = tuple(self.encode_bytes(word.encode()))
+        """Tokens of a pre-token; the younger memory becomes the older one when full."""
+        tokens = self.words.get(word) or self.older.get(word)
+        if tokens is None:
+            tokens = tuple(self.encode_bytes(word.encode()))
         if len(word) <= 64:
-            if len(self.words) > MAX_WORDS:
-                self.words.clear()
+            if len(self.words) >= MAX_WORDS:
+                self.older, self.words = self.words, {}
             self.words[word] = tokens
         return tokens
 
     def encode(self, text: str, out: array | None = None) -> array:
         """Token ids of a text, appended to ``out``."""
         out = array("i") if out is None else out
-        known, add, make = self.words.get, out.extend, self._word
         if len(text) > LONG_TEXT:
-            words: Iterator[str] | list[str] = (m.group() for m in self.split_text.finditer(text))
+            words = (m.group() for m in self.split_text.finditer(text))
+            while some := list(islice(words, LONG_TEXT)):
+                out.extend(self._encode_words(some))
         else:
-            words = self.split_text.findall(text)
-        for word in words:
-            add(known(word) or make(word))
+            out.extend(self._encode_words(self.split_text.findall(text)))
         return out
 
+    def _encode_words(self, words: list[str]) -> array:
+        found = list(map(self.words.get, words))
+        if None in found:
+            make = self._word
+            found = [make(w) if t is None else t for w, t in zip(words, found)]
+        return array("i", chain.from_iterable(found))
+
     def decode(self, tokens) -> str:
         """Text of token ids; bytes that are not UTF-8 become U+FFFD."""
         stream = Utf8Stream(self.bytes)
@@ -283,6 +299,7 @@ def load_encoder(path: str) -> tuple[Encoder, Utf8Stream]:
 
 def _encode_batches(batches, path: str, keep: list[str], text_at: str, check: bool):
     encoder, stream = load_encoder(path)
+    gc.disable()  # the memories hold no cycles, and looking for some among them takes longer than encoding
     for batch in batches:
         flat, ends, exact, sizes = array("i"), [0], [], []
         null = np.zeros(batch.num_rows, dtype=bool)

@@ -43,17 +43,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     judged = scratch.keep(
         members.join(heads, "h").select("h", "doc_id", "keep_id", "n", F.col("text").eqNullSafe(F.col("first")).alias("same"))
     )
-    clash = judged.where("not same").select("h").distinct()
-    sound = judged.join(clash, "h", "left_anti").select("doc_id", "keep_id", F.col("n").alias("group_size"))
-    exact = members.join(clash, "h", "left_semi").groupBy("h", "text").agg(
-        F.min("doc_id").alias("keep_id"), F.collect_set("doc_id").alias("ids"),
-        F.max(F.col("doc_id").isNull()).alias("has_null"),
-    )
-    exact = exact.select(
-        F.explode(F.when(F.col("has_null"), F.concat("ids", F.array(F.lit(None).cast("long")))).otherwise(F.col("ids"))).alias("doc_id"),
-        "keep_id", (F.size("ids") + F.col("has_null").cast("int")).cast("long").alias("group_size"),
-    )
-    grouped = sound.distinct().unionByName(exact)
+    grouped = judged.select("doc_id", "keep_id", F.col("n").alias("group_size")).distinct()
+    clash = scratch.keep(judged.where("not same").select("h").distinct())
+    if not clash.isEmpty():  # two contents of one hash: its rows are grouped by their bytes
+        clash = scratch.small(clash)
+        sound = judged.join(clash, "h", "left_anti").select("doc_id", "keep_id", F.col("n").alias("group_size")).distinct()
+        exact = members.join(clash, "h", "left_semi").select("h", "text", "doc_id").distinct()
+        exact = exact.groupBy("h", "text").agg(F.min("doc_id").alias("keep_id"), F.collect_list(F.struct("doc_id")).alias("ids"))
+        exact = exact.select(F.explode("ids").alias("one"), "keep_id", F.size("ids").cast("long").alias("group_size"))
+        grouped = sound.unionByName(exact.select("one.doc_id", "keep_id", "group_size"))
     return grouped.withColumn("is_kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).unionByName(alone)
 
 
