@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veldspar.llm.minhash import _groups
 from veldspar.llm.words import anchors, run_hashes, text_buffer, word_hashes
-from veldspar.runtime import Scratch, ensure_importable
+from veldspar.runtime import ensure_importable
 
 PACKED = "bucket int, hashes binary, docs binary, places binary"
 FLAGGED = "doc_id long, places binary"
@@ -145,6 +145,6 @@ def runs_of(starts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + reach
 
 
-def with_texts(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Texts of the documents in a kept table; only its size decides between broadcast and shuffle."""
-    return texts_of(docs).join(scratch.small(found, 16 << 20), "doc_id")
+def with_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Texts of the documents in a table of repeats, which grows with the corpus: a merge join at every size."""
+    return texts_of(docs).join(found.hint("merge"), "doc_id")

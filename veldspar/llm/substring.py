@@ -105,9 +105,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, scratch:
     n = buckets_of(docs)
     half = least_words // 2
     found = scratch.keep(repeated(anchored(docs, half, least_words, n), n))
-    windows = with_texts(docs, found, scratch).mapInArrow(lambda b: _extend(b, n, least_words), PACKED)
+    windows = with_texts(docs, found).mapInArrow(lambda b: _extend(b, n, least_words), PACKED)
     marked = scratch.keep(repeated(windows, n, later=True))
-    spans = scratch.keep(with_texts(docs, marked, scratch).mapInArrow(lambda b: _spans(b, least_words), SPANS))
+    spans = scratch.keep(with_texts(docs, marked).mapInArrow(lambda b: _spans(b, least_words), SPANS))
     scratch.drop(found, marked)
     ended, length, alive = [], least_words, None
     while True:

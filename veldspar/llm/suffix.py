@@ -194,7 +194,7 @@ def suffix_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, scratch: Scr
     n = buckets_of(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.keep(repeated(anchored(docs, ANCHOR_WORDS, least_words, n), n))
-    contexts = with_texts(docs, found, scratch).mapInArrow(lambda b: _contexts(b, n, ANCHOR_WORDS, least_words), CONTEXTS)
+    contexts = with_texts(docs, found).mapInArrow(lambda b: _contexts(b, n, ANCHOR_WORDS, least_words), CONTEXTS)
     passages = (
         contexts.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
         .mapInArrow(lambda b: _expand(b, least_words), "doc_id long, first int, past int")
