@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from veldspar.runtime import Scratch
 
-#: Topics by the first rule that a text meets; else ``prose``.
+#: Topics by the first rule that a text meets; else ``prose``. The rules take linear time on any text.
 TOPICS = (
     ("licence", r"(?i)licen[sc]e|all rights reserved"),
-    ("contact", r"[\w.]+@[\w.]+|\+\d[\d ()-]{8,}"),
+    ("contact", r"[\w.]@[\w.]|\+\d[\d ()-]{8}"),
     ("code", r"[{};]|\w\(\)"),
 )
 #: Shares by language and topic; those not named share ``other``. Sources weigh their share to the power ``TEMPER``.
@@ -119,8 +119,8 @@ def uniform(id_col: str = "doc_id") -> Column:
 def with_probability(docs: DataFrame, **targets) -> DataFrame:
     """``docs`` with ``topic``, ``tokens``, ``p``, ``u`` and ``sampled`` (``u < p``) for every row.
 
-    Null source and language are cells of their own (``?``); null or empty text weighs nothing and is always
-    sampled, as ``prose``. Repeated rows have the same ``u`` and stay or go together; so do all rows of a null
+    Null source and language are cells of their own (``?``); null or empty text weighs nothing; it is
+    ``prose`` and has the probability of its cell. Repeated rows have the same ``u`` and stay or go together; so do all rows of a null
     id. Columns of ``docs`` called like an added one are replaced. An empty table gives an empty result.
 
     One scan makes the cells (partial aggregation, the shuffle is one row a cell and task), one task rakes
