@@ -117,7 +117,7 @@ def test_sizes_and_checksum(spark):
 def test_heading_boundaries():
     text = b"# First heading\nContent.\n\n# Second heading\nMore content."
     assert splitters.heading_boundaries(text) == [26]
-    assert splitters.heading_boundaries(b"a\nb\n===\nc\n\n---\n####### no\n#no\n  ## yes") == [2, 37 - 9]
+    assert splitters.heading_boundaries(b"a\nb\n===\nc\n\n---\n####### no\n#no\n  ## yes") == [2, 30]
     assert splitters.heading_boundaries(b"T\n===\n") == []
 
 
