@@ -14,7 +14,7 @@ PAYLOAD = "struct<content:string,meta:string,embedding:string,embedding_model:st
 
 def pending(log: DataFrame, state: DataFrame) -> DataFrame:
     """By dataset: entries above its cursor (0 if it has none), and the greatest SCN among them."""
-    rows = log.join(F.broadcast(state.groupBy("dataset_id").agg(F.max("last_scn").alias("_last"))), "dataset_id", "left")
+    rows = log.join(state.groupBy("dataset_id").agg(F.max("last_scn").alias("_last")), "dataset_id", "left")
     new = F.col("scn") > F.coalesce("_last", F.lit(0))
     return rows.groupBy("dataset_id").agg(F.count_if(new).alias("pending"), F.coalesce(F.max(F.when(new, F.col("scn"))), F.lit(0)).alias("max_scn"))
 
@@ -80,7 +80,7 @@ def apply_log(docs: DataFrame, log: DataFrame, state: DataFrame, rules: PathRule
     nothing. Filtered entries advance the cursor too.
     """
     cursor = state.groupBy("dataset_id").agg(F.max("last_scn").alias("_last"))
-    fresh = log.join(F.broadcast(cursor), "dataset_id", "left").where(F.col("scn") > F.coalesce("_last", F.lit(0))).drop("_last")
+    fresh = log.join(cursor, "dataset_id", "left").where(F.col("scn") > F.coalesce("_last", F.lit(0))).drop("_last")
     following = u.upsert(docs, final_state(fresh, rules), u.DOC_KEY)
     only_deleted = fresh.groupBy("dataset_id", F.col("document_id").alias("id")).agg(
         F.max("scn").alias("_scn"), F.count_if(F.lower("op") != "delete").alias("_n")
@@ -110,7 +110,7 @@ def snapshot_difference(before: DataFrame, after: DataFrame, key: list[str], las
 
 def push_entries(docs: DataFrame, cursors: DataFrame) -> DataFrame:
     """Log entries for documents above a downstream cursor: archived ones as deletions, others as updates."""
-    fresh = docs.join(F.broadcast(cursors.select("dataset_id", "last_scn")), "dataset_id", "left").where(F.col("scn") > F.coalesce("last_scn", F.lit(0)))
+    fresh = docs.join(cursors.select("dataset_id", "last_scn"), "dataset_id", "left").where(F.col("scn") > F.coalesce("last_scn", F.lit(0)))
     payload = F.to_json(F.struct(*[c for c in docs.columns if c not in ("dataset_id", "scn")]))
     op = F.when(F.col("archived") != 0, "delete").otherwise("update")
     return fresh.select("dataset_id", F.lit("shadow_vec_docs").alias("shadow_table"), "scn", op.alias("op"), F.col("id").alias("document_id"), payload.alias("payload"))
