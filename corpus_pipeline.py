@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that too many of their source's documents contain."""
-    return lines.drop_boilerplate(docs).select(*docs.columns)
+    """All documents, without the lines that too many of their source's distinct documents contain (near copies count once)."""
+    return lines.drop_boilerplate(docs, counted=lines.distinct_pages(docs)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,3 +173,23 @@ def test_every_stage_takes_odd_rows(spark, sf_dir):
             assert {r.doc_id for r in got.collect()} == {1, 2, 3, 4, 6, 7, None}
         elif name != "mixing":
             assert got.count() == len(ODD)
+
+
+def test_a_large_copy_group_leaves_one_document_with_its_text(spark, sf_dir):
+    rng = random.Random(21)
+    page = lambda n: [" ".join(_words(rng, 9)) for _ in range(n)]
+    rows, base = [], page(40)
+    for host in ("s", "t", None):
+        rows += [("\n".join(["terms of use apply here"] + page(4)), host) for _ in range(120)]
+        for k in range(40):  # a quarter of each source; half of them edited
+            copy = list(base)
+            if k % 2:
+                copy[rng.randrange(40)] = f"edited {rng.random()} in this copy alone"
+            rows.append(("\n".join(copy), host))
+    docs = spark.createDataFrame([(k, t, "en", h, len(t)) for k, (t, h) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = Scratch(spark).keep(corpus_pipeline.drop_boilerplate(spark, docs, sf_dir))
+    assert cut.count() == len(rows) and cut.where("contains(text, 'terms of use') or text = ''").count() == 0
+    own = {r.doc_id: r.text for r in cut.collect()}
+    assert all(own[k] == t for k, (t, _) in enumerate(rows) if "terms of use" not in t)
+    left = [r.text for r in corpus_pipeline.drop_near_copies(spark, cut, sf_dir).collect()]
+    assert len(left) == 361 and sum(len(set(t.split("\n")) & set(base)) > 30 for t in left) == 1

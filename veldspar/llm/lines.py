@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldspar.llm import minhash
 from veldspar.runtime import Scratch
 
 #: A line in more than this share of its host's pages, and in so many pages, is boilerplate.
@@ -29,22 +30,46 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", ratio: float = RATI
     )
 
 
+def distinct_pages(docs: DataFrame, host: str = "source") -> DataFrame:
+    """``host`` and ``text`` of one page for each group of near copies on a host.
+
+    Texts are told apart by a 64-bit hash and grouped over all hosts, whatever their ids; of a group's texts on a
+    host the one of least hash stands for all. A text without a word is a group of its own; null texts are left out.
+
+    Hashes and signatures are grouped as in ``near_duplicates``; each distinct text of a host is shuffled once.
+    """
+    scratch = Scratch(docs.sparkSession)
+    pages = docs.where("text is not null").select(F.col(host).alias(host), "text", F.xxhash64("text").alias("_content"))
+    groups = minhash.near_duplicates(pages.select(F.col("_content").alias("doc_id"), "text"), scratch=scratch)
+    grouped = scratch.keep(groups.where("group_size > 1").select(F.col("doc_id").alias("_content"), "group_id"))
+    seen = pages.select(host, "_content").distinct().join(grouped, "_content")
+    first = seen.groupBy(F.col(host).alias("_h"), "group_id").agg(F.min("_content").alias("_first"))
+    extra = scratch.keep(
+        seen.join(first, F.expr(f"_h <=> `{host}`") & (seen.group_id == first.group_id) & F.expr("_content <> _first"))
+        .select("_h", F.col("_content").alias("_c"))
+    )
+    one = pages.dropDuplicates([host, "_content"])
+    return one.join(scratch.small(extra), F.expr(f"_h <=> `{host}` and _c = _content"), "left_anti").select(host, "text")
+
+
 def drop_boilerplate(
-    docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, n_chars: str | None = "n_chars"
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, n_chars: str | None = "n_chars",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with the boilerplate lines of their host taken out of ``text``, and ``n_dropped`` lines counted.
 
     Every row stays: a page of nothing but boilerplate has an empty text, a null text stays null (0 dropped).
     Other lines keep their order and bytes. ``n_chars``, where named and present, is set to the new length for
     rows that changed. Repeated rows are pages of their own. Extra columns pass through; one called
-    ``n_dropped`` is replaced. An empty table gives an empty result.
+    ``n_dropped`` is replaced. An empty table gives an empty result. Lines are counted over the pages of ``counted``
+    where it is given (as by ``distinct_pages``, so that copies of one page can't make its lines boilerplate).
 
     Counting shuffles (host, line, count) partials. The lines found are written, their size is checked, and
     they are broadcast by host if small; else the join is shuffled and left to adaptive skew handling.
     """
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(
-        boilerplate_lines(docs, host, ratio, least_pages)
+        boilerplate_lines(docs if counted is None else counted, host, ratio, least_pages)
         .groupBy("host").agg(F.collect_set("line").alias("_boilerplate")).withColumnRenamed("host", "_host")
     )
     lines = F.split("text", "\n", -1)
