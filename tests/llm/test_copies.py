@@ -1,5 +1,6 @@
 """Near copies and repeated passages against brute force, with odd inputs; the pipeline's stages."""
 
+import hashlib
 import random
 import re
 
@@ -8,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_texts import ODD, odd
-from veldspar.llm import graph, minhash, repeats, substring, suffix
+from veldspar.llm import fingerprint, graph, minhash, repeats, substring, suffix
 from veldspar.runtime import Scratch
 
 
@@ -193,3 +194,32 @@ def test_a_large_copy_group_leaves_one_document_with_its_text(spark, sf_dir):
     assert all(own[k] == t for k, (t, _) in enumerate(rows) if "terms of use" not in t)
     left = [r.text for r in corpus_pipeline.drop_near_copies(spark, cut, sf_dir).collect()]
     assert len(left) == 361 and sum(len(set(t.split("\n")) & set(base)) > 30 for t in left) == 1
+
+
+def test_version_pairs_equal_brute_force(spark):
+    rng = random.Random(31)
+    texts = []
+    for g in range(30):
+        base = [" ".join(_words(rng, rng.randint(8, 20))) for _ in range(rng.choice([1, 2, 12, 60]))]
+        for _ in range(rng.choice([1, 2, 5])):
+            mine = list(base)
+            for _ in range(max(1, len(mine) // 12)):  # edits that touch any paragraph, the least digest too
+                k = rng.randrange(len(mine))
+                words = mine[k].split()
+                words[rng.randrange(len(words))] = f"e{rng.random()}"
+                mine[k] = " ".join(words)
+            texts.append("\n".join(mine))
+    docs = spark.createDataFrame([*enumerate(texts), (900, texts[0]), (901, "..."), (902, "..."), (903, None), (None, texts[0])], "doc_id long, text string")
+    sets, digests = [_runs(t) for t in texts], [{int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in t.split("\n")} for t in texts]
+    same = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(b, a) for b in range(len(texts)) for a in range(b) if same(a, b) >= fingerprint.ALIKE}
+    rows = fingerprint.version_pairs(docs, cells=6).collect()
+    got = {(r.doc_id, r.prev_id): r for r in rows}
+    assert len(got) == len(rows) and got.pop((900, 0)).added == []
+    assert len(want) > 60 and set(got) <= want and len(got) >= 0.9 * len(want)
+    for (b, a), r in got.items():
+        assert r.added == sorted(digests[b] - digests[a]) and r.removed == sorted(digests[a] - digests[b]) and abs(r.similarity - same(a, b)) < 1e-9
+    chained = {(r.doc_id, r.prev_id) for r in fingerprint.version_differences(docs).collect()}
+    assert len(want & chained) < 0.9 * len(want)  # by the least digest alone
+    assert fingerprint.version_pairs(docs.limit(0)).count() == 0
+    assert {(r.doc_id, r.prev_id) for r in fingerprint.version_pairs(odd(spark)).collect()} == {(5, 4)}

@@ -13,11 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.llm import minhash
+from veldspar.llm.graph import components
 from veldspar.llm.words import mix
 from veldspar.runtime import Scratch, ensure_importable
 
 #: Cells of the first sketch and their growth; hash functions, each with a part of the cells.
 CELLS, GROW, HASHES = 30, 4, 3
+#: Least share of common word runs of two versions; least estimate by signatures that makes candidates of them.
+ALIKE, CANDIDATE = 0.5, 0.35
 _SALTS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x6A09E667F3BCC908], dtype=np.uint64)
 _CHECK = np.uint64(0xBB67AE8584CAA73B)
 
@@ -172,6 +176,118 @@ def version_differences(docs: DataFrame, cells: int = CELLS, scratch: Scratch |
     return digests.select("doc_id", "n_paragraphs").join(found, "doc_id", "left").select("doc_id", "prev_id", "n_paragraphs", "added", "removed")
 
 
+def _alike(sets: list[np.ndarray], least: float):
+    """Pairs (earlier, later, similarity) of the sets whose Jaccard similarity is at least ``least``, by later ones."""
+    size = np.array([len(x) for x in sets])
+    inner = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    at = np.cumsum(size) - size
+    flag = np.zeros(int(inner.max()) + 1, dtype=np.int64)
+    for k in range(1, len(sets)):
+        own = inner[at[k] : at[k] + size[k]]
+        flag[own] = 1
+        common = np.add.reduceat(flag[inner[: at[k]]], at[:k])
+        flag[own] = 0
+        share = common / (size[:k] + size[k] - common)
+        hit = np.flatnonzero(share >= least)
+        if len(hit):
+            yield hit, np.full(len(hit), k), share[hit]
+
+
+def _resolve(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray, cells: int):
+    """For slices of the pairs: their places, and offsets and values of the digests that only ``b``, only ``a`` has."""
+    step = max(1, 200_000 // cells)
+    for lo in range(0, len(a), step):
+        docs, at = np.unique(np.concatenate([a[lo : lo + step], b[lo : lo + step]]), return_inverse=True)
+        n, own = len(at) // 2, [lists[d] for d in docs]
+        made = Sketches.of(np.repeat(np.arange(len(docs)), [len(x) for x in own]), np.concatenate(own), len(docs), cells)
+        one = lambda x: Sketches(made.count[x], made.keys[x], made.checks[x])
+        rows, keys, signs, done = one(at[n:]).minus(one(at[:n])).peel()
+        whole = np.flatnonzero(done)
+        place, cols = np.cumsum(done) - 1, []
+        for sign in (1, -1):
+            mine = (signs == sign) & done[rows]
+            r, v = place[rows[mine]], keys[mine].view(np.int64)
+            order = np.lexsort((v, r))
+            cols.append((np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(whole)))]), v[order]))
+        if len(whole):
+            yield whole + lo, cols
+        failed = np.flatnonzero(~done) + lo
+        for where, more in _resolve(lists, a[failed], b[failed], cells * GROW):
+            yield failed[where], more
+
+
+_PAIR = "doc_id long, prev_id long, similarity double, added array<long>, removed array<long>"
+
+
+def _version_pairs(batches, least: float, cells: int):
+    """Rows (root, doc_id, digests, runs) in order to the pairs of each root's rows that are alike."""
+    for group in minhash._groups(batches, 0):
+        ids = group.column("doc_id").to_numpy()
+        sets = [np.frombuffer(x, dtype=np.uint32) for x in group.column("runs").to_pylist()]
+        lists = [np.array(x, dtype=np.int64).view(np.uint64) for x in group.column("digests").to_pylist()]
+        held, count = [], 0
+        for found in [*_alike(sets, least), None]:
+            if found is not None:
+                held.append(found)
+                count += len(found[0])
+            if not held or found is not None and count < 50_000:
+                continue
+            a, b, share = (np.concatenate(x) for x in zip(*held))
+            held, count = [], 0
+            for where, cols in _resolve(lists, a, b, cells):
+                ends = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, pa.int64())) for e, v in cols]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[b[where]]), pa.array(ids[a[where]]), pa.array(share[where]), *ends],
+                    names=["doc_id", "prev_id", "similarity", "added", "removed"],
+                )
+
+
+def version_pairs(docs: DataFrame, least: float = ALIKE, cells: int = CELLS, scratch: Scratch | None = None) -> DataFrame:
+    """One row a pair of versions: ``doc_id``, ``prev_id`` (the smaller id), ``similarity``, ``added``, ``removed``.
+
+    Versions are texts whose runs of three words (see ``minhash``) have a Jaccard similarity of at least ``least``;
+    each such pair of a group of candidates is a row, with the digests (sorted) of the paragraphs that only
+    ``doc_id`` or only ``prev_id`` has, as recovered from their sketches. Candidates are linked by band keys: a pair
+    of similarity 0.5 shares one with probability 0.92, a pair more alike with a larger one, and pairs that others
+    link are found too. Of the rows with the same text the one of least id takes part; each further id is a pair
+    with that one, of similarity 1.
+
+    Rows with a null id or text are left out, texts without a word are versions of nothing. An id with several
+    texts stands for each. Other columns are ignored; an empty table gives an empty result. The pairs are as
+    many as the result has rows, so they grow with the square of a group's distinct texts.
+
+    Texts of the groups alone are shuffled, once to tell equal ones, then as runs (4 bytes each) and digests by group.
+    """
+    if cells % HASHES:
+        raise ValueError(f"cells must be a multiple of {HASHES}")
+    scratch = scratch or Scratch(docs.sparkSession)
+    ensure_importable(docs.sparkSession)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("content")).where("doc_id is not null and text is not null")
+    worded = rows.where(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7f]"))
+    ids = worded.select("doc_id", "content").distinct()
+    first = F.min("doc_id").over(Window.partitionBy("content"))
+    equal = ids.withColumn("prev_id", first).where("doc_id <> prev_id").select(
+        "doc_id", "prev_id", F.lit(1.0).alias("similarity"), *(F.array().cast("array<long>").alias(c) for c in ("added", "removed"))
+    )
+    links = scratch.keep(minhash.near_pairs(rows.select(F.col("content").alias("doc_id"), "text"), scratch, min(CANDIDATE, least)))
+    roots = components(links, scratch).select(F.col("a").alias("content"), "root")
+    roots = scratch.keep(roots.unionByName(roots.select(F.col("root").alias("content"), "root").distinct()))
+    texts = rows.join(scratch.small(roots), "content").groupBy("root", "content").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+
+    def runs(batches):
+        for batch in batches:
+            sets = minhash.run_sets(batch.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("root", "doc_id", "digests")), pa.array([x.tobytes() for x in sets], pa.binary())],
+                names=["root", "doc_id", "digests", "runs"],
+            )
+
+    members = texts.select("root", "doc_id", digests_column().alias("digests"), "text").mapInArrow(runs, "root long, doc_id long, digests array<long>, runs binary")
+    pairs = members.repartition(n, "root").sortWithinPartitions("root", "doc_id").mapInArrow(lambda b: _version_pairs(b, least, cells), _PAIR)
+    return pairs.unionByName(equal)
+
+
 FINGERPRINT_SQL = """
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL),
 digest AS (

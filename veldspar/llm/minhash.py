@@ -62,6 +62,19 @@ def minima(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows, out
 
 
+def run_sets(column: pa.Array) -> list[np.ndarray]:
+    """The distinct runs of each text, as sorted 32-bit hashes; none for a text without a word."""
+    words, at = word_hashes(*text_buffer(column), PLAIN)
+    runs = (run_hashes(words, RUN) >> np.uint64(32)).astype(np.uint32)
+    out = []
+    for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+        if z - a >= RUN:
+            out.append(np.unique(runs[a : z - RUN + 1]))
+        else:
+            out.append((run_hashes(words[a:z], z - a) >> np.uint64(32)).astype(np.uint32) if z > a else np.zeros(0, dtype=np.uint32))
+    return out
+
+
 def pack(least: np.ndarray) -> np.ndarray:
     """Low bits of mixed minima by plane: rows by ``BITS * LANES`` words of 64 bits."""
     low = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)

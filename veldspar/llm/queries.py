@@ -35,6 +35,11 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.version_differences(table(spark, sf_dir, "documents"))
 
 
+def op5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs by which the documents of each pair of near copies differ."""
+    return fingerprint.version_pairs(table(spark, sf_dir, "documents"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source."""
     return lines.drop_boilerplate(table(spark, sf_dir, "documents"))
@@ -63,7 +68,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     """Queries by name."""
     named = (
-        op1_bpe, op2_toxicity, op3_mixing, op4_substring, op5_fingerprint, op6_lines, op7_exact, op8_minhash,
+        op1_bpe, op2_toxicity, op3_mixing, op4_substring, op5_fingerprint, op5_versions, op6_lines, op7_exact, op8_minhash,
         op9_warc, op10_suffix,
     )
     return {f.__name__: f for f in named}
