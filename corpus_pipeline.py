@@ -7,6 +7,7 @@ table, but for the last, which returns token ids. Stages are written as Parquet
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veldspar.llm import bpe, lines, minhash, mixing, toxicity
 from veldspar.runtime import Scratch, table
@@ -24,11 +25,30 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies, and all that are like no other."""
+    """The row of least id of each group of near copies, and all rows that are like no other; equal rows of an id are one.
+
+    Texts are grouped whatever their ids, so an id with several texts is as many documents. Rows without an id stay.
+    """
     scratch = Scratch(spark)
-    groups = minhash.near_duplicates(docs, scratch=scratch)
-    extra = scratch.keep(groups.where("not is_kept").select("doc_id"))
-    return docs.join(scratch.small(extra), "doc_id", "left_anti").select(*docs.columns)
+    key = ["doc_id", "_content"]
+    keyed = docs.withColumn("_content", F.xxhash64("text"))
+    rows = keyed.where("doc_id is not null and text is not null")
+    groups = minhash.near_duplicates(rows.select(F.col("_content").alias("doc_id"), "text"), scratch=scratch)
+    groups = groups.where("group_size > 1").select(F.col("doc_id").alias("_content"), "group_id")
+    own = F.when(minhash.has_word(), F.col("_content")).alias("_own")
+    pairs = scratch.keep(
+        rows.select(*key, own).groupBy(*key, "_own").agg(F.count(F.lit(1)).alias("n")).join(groups, "_content", "left")
+        .select(*key, "n", F.coalesce("group_id", "_own").alias("group_id"))
+    )
+    heads = pairs.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct(*key)).alias("head"), F.count(F.lit(1)).alias("size"))
+    extra = scratch.keep(pairs.join(heads.where("size > 1"), "group_id").where("struct(doc_id, _content) <> head").select(*key))
+    left = keyed.join(scratch.small(extra), key, "left_anti")
+    repeated = scratch.keep(pairs.where("n > 1").select(*key))
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    repeated = scratch.small(repeated)
+    one = left.join(repeated, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(repeated, key, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,3 +223,17 @@ def test_version_pairs_equal_brute_force(spark):
     assert len(want & chained) < 0.9 * len(want)  # by the least digest alone
     assert fingerprint.version_pairs(docs.limit(0)).count() == 0
     assert {(r.doc_id, r.prev_id) for r in fingerprint.version_pairs(odd(spark)).collect()} == {(5, 4)}
+
+
+def test_one_row_of_a_group_stays_where_rows_repeat_ids(spark, sf_dir):
+    rng = random.Random(41)
+    base = _words(rng, 200)
+    near = " ".join(base[:-3] + _words(rng, 3))
+    base, other, lone = " ".join(base), " ".join(_words(rng, 90)), " ".join(_words(rng, 90))
+    rows = [(1, base), (1, base), (1, near), (2, near), (3, base), (1, other), (4, other), (5, lone), (5, lone), (6, "..."), (7, "..."), (6, "..."), (None, base), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "length(text) n_chars")
+    got = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    kept = next(t for k, t in left if k == 1 and t in (base, near))
+    assert left == sorted([(1, kept), (1, other), (5, lone), (6, "..."), (7, "..."), (None, base), (8, None)], key=str)

@@ -264,7 +264,7 @@ def version_pairs(docs: DataFrame, least: float = ALIKE, cells: int = CELLS, scr
     ensure_importable(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("content")).where("doc_id is not null and text is not null")
-    worded = rows.where(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7f]"))
+    worded = rows.where(minhash.has_word())
     ids = worded.select("doc_id", "content").distinct()
     first = F.min("doc_id").over(Window.partitionBy("content"))
     equal = ids.withColumn("prev_id", first).where("doc_id <> prev_id").select(

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.llm.graph import components
@@ -62,6 +62,11 @@ def minima(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows, out
 
 
+def has_word(text: str = "text") -> Column:
+    """Whether a text has a word: a letter, a digit or a character beyond ASCII."""
+    return F.col(text).rlike(r"[0-9A-Za-z]|[^\x00-\x7f]")
+
+
 def run_sets(column: pa.Array) -> list[np.ndarray]:
     """The distinct runs of each text, as sorted 32-bit hashes; none for a text without a word."""
     words, at = word_hashes(*text_buffer(column), PLAIN)
