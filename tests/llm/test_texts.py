@@ -113,6 +113,21 @@ def test_raking_meets_the_margins():
     assert list(mixing.rake([], [], [], [])) == [] and list(mixing.rake(["a"], ["b"], ["c"], [0])) == [1.0]
 
 
+def test_raking_goes_on_until_the_margins_are_met():
+    cells = [(f"s{k}", g, "prose") for k in range(20) for g in ("en", "de", "fr", "es")]
+    tokens = np.array([(40 if s == "s0" else 1) * (1e6 if g == ("en", "de", "fr", "es")[int(s[1:]) % 4] else 1e3) for s, g, _ in cells])
+    p, error = mixing.fit(*zip(*cells), tokens)
+    w = p * tokens / (p * tokens).sum()
+    named = sum(mixing.LANGUAGES[g] for g in ("en", "de", "fr", "es"))
+    for g in ("en", "de", "fr", "es"):
+        assert abs(sum(x for x, c in zip(w, cells) if c[1] == g) * named / mixing.LANGUAGES[g] - 1) < 1e-6
+    own = np.array([sum(tokens[4 * k : 4 * k + 4]) for k in range(20)]) ** mixing.TEMPER
+    assert np.abs(w.reshape(20, 4).sum(axis=1) / (own / own.sum()) - 1).max() < 1e-6 and error < mixing.TOLERANCE
+    assert (mixing.rake(*zip(*cells), tokens) == p).all() and mixing.fit(*zip(*cells), tokens, rounds=12)[1] > 1e-3
+    # two sources of one language each, whose shares the languages' contradict
+    assert mixing.fit(["a", "b"], ["en", "de"], ["prose"] * 2, [1, 1])[1] > 0.1
+
+
 def test_mixing_odd(spark):
     got = mixing.with_probability(odd(spark))
     assert got.count() == len(ODD) and got.columns.count("p") == 1

@@ -26,6 +26,8 @@ TOPICS = (
 LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.10, "other": 0.05}
 TOPIC_SHARES = {"prose": 0.90, "licence": 0.03, "contact": 0.04, "code": 0.03, "other": 0.05}
 TEMPER, ROUNDS, TOLERANCE = 0.7, 12, 1e-9
+#: Rounds after which fitting stops though the margins aren't met; ``ROUNDS`` are those that the SQL unrolls.
+MOST_ROUNDS = 100_000
 
 
 def topic_column(text: str = "text", topics=TOPICS) -> Column:
@@ -62,14 +64,21 @@ def _shares(values: np.ndarray, tokens: np.ndarray, named: dict[str, float]) ->
     return share / share.sum() if share.sum() > 0 else share
 
 
-def rake(source, lang, topic, tokens, languages=None, topics=None, temper: float = TEMPER, rounds: int = ROUNDS) -> np.ndarray:
-    """Sampling probability of each cell: ``rounds`` rounds of fitting the three margins in turn.
+def rake(source, lang, topic, tokens, languages=None, topics=None, temper: float = TEMPER, rounds: int = MOST_ROUNDS) -> np.ndarray:
+    """Sampling probability of each cell, as ``fit`` has it."""
+    return fit(source, lang, topic, tokens, languages, topics, temper, rounds)[0]
 
+
+def fit(source, lang, topic, tokens, languages=None, topics=None, temper: float = TEMPER, rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, float]:
+    """Sampling probability of each cell by fitting the three margins in turn, and the largest error of a share.
+
+    Fitting ends when no share is off by ``TOLERANCE``, when a round changes nothing any more (no weights of these
+    cells have all margins), or after ``rounds`` rounds; what is left is the error.
     Cells without tokens have probability 1 (they weigh nothing). Cells whose target share is 0 have 0.
     """
     tokens = np.asarray(tokens, dtype=float)
     if not len(tokens) or tokens.sum() <= 0:
-        return np.ones(len(tokens))
+        return np.ones(len(tokens)), 0.0
     margins = []
     for values, named in ((source, None), (lang, languages or LANGUAGES), (topic, topics or TOPIC_SHARES)):
         values = np.asarray(values, dtype=object).astype(str)
@@ -82,20 +91,21 @@ def rake(source, lang, topic, tokens, languages=None, topics=None, temper: float
             share = _shares(values, tokens, named)
         margins.append((code, share, len(names)))
     weight = tokens / tokens.sum()
+    off = lambda w: max(np.abs(np.bincount(code, w, n) - share).max() for code, share, n in margins)
     for _ in range(rounds):
         before = weight
         for code, share, n in margins:
             total = np.bincount(code, weight, n)
             weight = weight * np.divide(share, total, out=np.zeros(n), where=total > 0)[code]
-        if np.abs(weight - before).max() < TOLERANCE:
+        if off(weight) < TOLERANCE or np.abs(weight - before).max() < 1e-15:
             break
     ratio = np.divide(weight, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
     top = ratio.max()
-    return np.where(tokens > 0, ratio / top if top > 0 else 1.0, 1.0)
+    return np.where(tokens > 0, ratio / top if top > 0 else 1.0, 1.0), float(off(weight))
 
 
 def rake_table(table: DataFrame, **targets) -> DataFrame:
-    """``rake`` over a cell table; cells are as many as distinct (source, language, topic), gathered by one task."""
+    """``fit`` over a cell table; cells are as many as distinct (source, language, topic), gathered by one task."""
 
     def run(batches):
         import pandas as pd
@@ -105,10 +115,10 @@ def rake_table(table: DataFrame, **targets) -> DataFrame:
         if not batches:
             return
         df = pa.Table.from_batches(batches).to_pandas().sort_values(["_source", "_lang", "_topic"], ignore_index=True)
-        df["p"] = rake(df._source, df._lang, df._topic, df.tokens, **targets)
+        df["p"], df["margin_error"] = fit(df._source, df._lang, df._topic, df.tokens, **targets)
         yield pa.RecordBatch.from_pandas(pd.DataFrame(df), preserve_index=False)
 
-    return table.coalesce(1).mapInArrow(run, "_source string, _lang string, _topic string, n_docs long, tokens long, p double")
+    return table.coalesce(1).mapInArrow(run, "_source string, _lang string, _topic string, n_docs long, tokens long, p double, margin_error double")
 
 
 def uniform(id_col: str = "doc_id") -> Column:
@@ -117,7 +127,9 @@ def uniform(id_col: str = "doc_id") -> Column:
 
 
 def with_probability(docs: DataFrame, **targets) -> DataFrame:
-    """``docs`` with ``topic``, ``tokens``, ``p``, ``u`` and ``sampled`` (``u < p``) for every row.
+    """``docs`` with ``topic``, ``tokens``, ``p``, ``u``, ``sampled`` (``u < p``) and ``margin_error`` for every row.
+
+    ``margin_error`` is the same for all rows: by how much the fitted share that is farthest from its target misses it.
 
     Null source and language are cells of their own (``?``); null or empty text weighs nothing; it is
     ``prose`` and has the probability of its cell. Repeated rows have the same ``u`` and stay or go together; so do all rows of a null
@@ -127,12 +139,12 @@ def with_probability(docs: DataFrame, **targets) -> DataFrame:
     them, and a second scan looks probabilities up in the cells, broadcast where their files are small.
     """
     scratch = Scratch(docs.sparkSession)
-    fitted = scratch.keep(rake_table(cells(docs), **targets).select("_source", "_lang", "_topic", "p"))
-    added = ["topic", "tokens", "p", "u", "sampled"]
+    fitted = scratch.keep(rake_table(cells(docs), **targets).select("_source", "_lang", "_topic", "p", "margin_error"))
+    added = ["topic", "tokens", "p", "u", "sampled", "margin_error"]
     keep = [c for c in docs.columns if c not in added]
     rows = docs.select(*keep, *_keys())
     out = rows.join(scratch.small(fitted), ["_source", "_lang", "_topic"], "left")
-    out = out.select(*keep, F.col("_topic").alias("topic"), token_weight().alias("tokens"), F.round("p", 9).alias("p"), uniform().alias("u"))
+    out = out.select(*keep, F.col("_topic").alias("topic"), token_weight().alias("tokens"), F.round("p", 9).alias("p"), uniform().alias("u"), "margin_error")
     return out.withColumn("sampled", F.col("u") < F.col("p"))
 
 
