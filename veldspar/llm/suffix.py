@@ -1,10 +1,10 @@
-"""Suffix-array dedup by threshold-bounded interval expansion on a Burrows-Wheeler transform.
+"""Suffix-array dedup by threshold-bounded expansion of suffix intervals.
 
 Winnowing picks anchors, runs of 12 words such that any passage of 50 words holds one. An anchor that
 occurs again takes its context along, the words of every 50-word passage that could hold it, to the task of
 its hash value. There the distinct contexts make one text: its suffix array (sorted as deep as the least
-length needs) gives the transform, and intervals of suffixes that share a prefix are expanded breadth first
-by backward extension. The boundary between two neighbouring suffixes appears in the round that equals the
+length needs) gives intervals of suffixes that share a prefix, whose boundaries are refined breadth first from
+those of each suffix's follower; no Burrows-Wheeler transform or rank table is built. The boundary between two neighbouring suffixes appears in the round that equals the
 length of their common prefix, so prefix lengths come out by increasing value; expansion stops at the
 least length, and neighbours without a boundary by then share at least so many words.
 """
