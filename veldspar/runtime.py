@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only while its materialised Parquet files stay below this many bytes.
 BROADCAST_LIMIT = 32 << 20
+#: Spark's setting by which the shuffle files of a query are removed when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +60,15 @@ class Scratch:
         self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` as Parquet and return it as read back."""
+        """Write ``df`` as Parquet and return it as read back. The shuffle files it took are freed, since nothing reads them again."""
         path = f"{self.root}/{self.count}"
         self.count += 1
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path
@@ -86,3 +93,27 @@ class Scratch:
     def small(self, df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
         """A kept table with a broadcast hint where its files are below ``limit``, else as it is."""
         return F.broadcast(df) if self.bytes(df) <= limit else df
+
+
+def packed(df: DataFrame, columns: list[str] | None = None, name: str = "row") -> Column:
+    """The row as one struct, so that columns beside it can't clash with its names."""
+    columns = df.columns if columns is None else columns
+    return F.struct(*(F.col(f"`{c}`") for c in columns) if columns else [F.lit(0).alias("none")]).alias(name)
+
+
+def numbered(df: DataFrame, order: list[str], scratch: Scratch, name: str = "number") -> DataFrame:
+    """``df`` with ``name``: each row's place (from 0) in ``order``, rows that tie in it numbered in any order.
+
+    Rows are range-partitioned, sorted and numbered within their partition, and written; what precedes a partition
+    is added from the partitions' counts (one number each), so no task sees more than its share of the rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = scratch.keep(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    counts = {r.part: r.n for r in own.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(part, 0)
+    offsets = F.array(*map(F.lit, before or [0])).cast("array<long>")
+    place = F.get(offsets, F.shiftright("_at", 33).cast("int")) + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return own.withColumn(name, place).drop("_at")
