@@ -2,11 +2,11 @@
 
 Winnowing picks anchors, runs of 12 words such that any passage of 50 words holds one. An anchor that
 occurs again takes its context along, the words of every 50-word passage that could hold it, to the task of
-its hash value. There the distinct contexts make one text: its suffix array (sorted as deep as the least
-length needs) gives intervals of suffixes that share a prefix, whose boundaries are refined breadth first from
-those of each suffix's follower; no Burrows-Wheeler transform or rank table is built. The boundary between two neighbouring suffixes appears in the round that equals the
-length of their common prefix, so prefix lengths come out by increasing value; expansion stops at the
-least length, and neighbours without a boundary by then share at least so many words.
+its hash value. There the distinct contexts make one text, whose suffixes (sorted as deep as the least length
+needs) give its Burrows-Wheeler transform. From the interval of all suffixes on, intervals are extended backward,
+breadth first: an extension that ends at a boundary not met before gives the common prefix length there, so lengths
+come out by increasing value. Expansion stops at the least length, and neighbours whose boundary isn't met by then
+share at least so many words.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.llm.minhash import _groups
-from veldspar.llm.repeats import anchored, buckets_of, places_of, repeated, runs_of, with_texts
+from veldspar.llm.repeats import anchored, buckets_of, named, places_of, repeated, runs_of, told_apart, with_texts
 from veldspar.llm.words import run_hashes, text_buffer, word_hashes
 from veldspar.runtime import Scratch, ensure_importable
 
@@ -45,38 +45,59 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def transform(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Burrows-Wheeler transform of a text, and of each of its places the row of the suffix one symbol longer.
+
+    ``transform[k]`` is the symbol before the suffix of row ``k`` (the text's last before its first). The longer suffix
+    stands where the symbol's equals begin, after as many rows as equals come before it: the stable sorting of the
+    transform gives both at once.
+    """
+    symbols = text[order - 1]
+    rows = np.empty(len(text), dtype=np.int64)
+    rows[np.argsort(symbols, kind="stable")] = np.arange(len(text))
+    return symbols, rows
+
+
 def bounded_common_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array, and for each neighbour pair the common prefix length, ``least`` standing for so many or more.
 
-    Symbol 0 separates texts and equals nothing, itself included. Round by round, the boundaries known between
-    suffixes are carried to the suffixes one symbol longer (the backward extension of their intervals), and the
-    round's number is the length of the common prefix where a boundary is new.
+    Symbol 0 separates texts and equals nothing, itself included; the text ends with one. A queue holds the intervals
+    of rows that share a prefix, shortest first, beginning with that of the empty prefix. Each is extended backward by
+    every symbol that the transform has in it; where an extended interval ends at a boundary not met before, the
+    prefix length of the two rows there is that of the interval it came from, and the new interval joins the queue.
+    All intervals of one length are extended together. Lengths come out by increasing value; at ``least`` it stops,
+    and boundaries not met by then are of rows that share so many symbols.
     """
     n = len(text)
-    order = suffix_array(text, least + 1)
+    apart = text == 0
+    count = int(apart.sum())
+    own = text + count
+    own[apart] = np.arange(count)  # each separator a symbol of its own
+    order = suffix_array(own, least + 1)
     lcp = np.full(max(n - 1, 0), least, dtype=np.int32)
     if n < 2:
         return order, lcp
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
-    first = text[order]
-    # round 0: intervals of one symbol; a separator's suffix is an interval of its own
-    cut = (first[1:] != first[:-1]) | (first[1:] == 0) | (first[:-1] == 0)
-    lcp[cut] = 0
-    interval = np.concatenate([[0], np.cumsum(cut)])
-    # where the suffix without its first symbol stands; the text's end is a separator's
-    following = place[np.minimum(order + 1, n - 1)]
-    alive = np.flatnonzero(lcp == least)
-    for length in range(1, least):
-        if not len(alive):
+    symbols, longer = transform(own, order)
+    known = np.full(n + 1, least, dtype=np.int32)  # of the boundary before each row
+    known[0] = -1
+    begin, end = np.zeros(1, dtype=np.int64), np.full(1, n, dtype=np.int64)
+    for length in range(least):
+        if not len(begin):
             break
-        # an interval's left extension by a symbol splits where its members' followers are in different intervals
-        new = interval[following[alive]] != interval[following[alive + 1]]
-        at = alive[new]
-        lcp[at] = length
-        alive = alive[~new]
-        interval = np.concatenate([[0], np.cumsum(lcp < least)])
-    return order, lcp
+        size = end - begin
+        rows = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        of = np.repeat(np.arange(len(begin)), size)
+        # rows of one interval and symbol stand together among the longer suffixes
+        to = longer[rows]
+        sort = np.argsort(to)
+        to, of, by = to[sort], of[sort], symbols[rows[sort]]
+        first = np.concatenate([[True], (of[1:] != of[:-1]) | (by[1:] != by[:-1])])
+        at = np.flatnonzero(first)
+        begin, end = to[at], to[np.concatenate([at[1:], [len(to)]]) - 1] + 1
+        fresh = known[end] == least
+        begin, end = begin[fresh], end[fresh]
+        known[end] = length
+    return order, known[1:-1] if n > 1 else lcp
 
 
 def repeated_starts(contexts: list[np.ndarray], counts: np.ndarray, least: int) -> list[np.ndarray]:
@@ -186,12 +207,13 @@ def suffix_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, scratch: Scr
     too, in the same text or another. Stretches of overlapping or touching passages are one.
 
     Null and empty texts, texts of fewer words, and rows with a null id have none. Rows that repeat an id are
-    texts of their own under the same id. Other columns are ignored; an empty table gives an empty result.
+    texts of their own under the same id. Texts of any length are taken whole. Other columns are ignored; an empty table gives an empty result.
     Words are told apart by 32 bits of their hash, passages thus by 32 bits a word.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     ensure_importable(docs.sparkSession)
     n = buckets_of(docs)
+    docs, own = told_apart(docs, scratch)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.keep(repeated(anchored(docs, ANCHOR_WORDS, least_words, n), n))
     contexts = with_texts(docs, found).mapInArrow(lambda b: _contexts(b, n, ANCHOR_WORDS, least_words), CONTEXTS)
@@ -217,4 +239,4 @@ def suffix_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, scratch: Scr
                 [pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32())], names=["doc_id", "start_word", "n_words"]
             )
 
-    return union.mapInArrow(merge, "doc_id long, start_word int, n_words int")
+    return named(union.mapInArrow(merge, "doc_id long, start_word int, n_words int"), own)
