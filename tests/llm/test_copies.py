@@ -115,17 +115,63 @@ def test_passages_equal_brute_force(spark, find):
     assert len({(r.doc_id, r.start_word) for r in rows}) == len(rows)
 
 
-def test_levels_and_removable(spark):
-    rows = substring.repeated_passages(corpus(spark)).collect()
-    assert {50, 200} <= {r.level_words for r in rows}
-    longest = [r for r in rows if r.level_words >= 200]
-    assert all(r.n_words >= 200 for r in longest)
-    heads = {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        text = " ".join(TEXTS[r.doc_id].split()[r.start_word : r.start_word + r.n_words])
-        assert r.removable_words == (r.n_words if text in heads else r.removable_words)
-        heads.setdefault(text, r)
-    assert any(r.removable_words == 0 for r in rows) and any(r.removable_words for r in rows)
+def _windows(texts, length):
+    """Places (id, start) of each window of a length, in order."""
+    where = {}
+    for d in sorted(texts):
+        words = texts[d].split()
+        for k in range(len(words) - length + 1):
+            where.setdefault(tuple(words[k : k + length]), []).append((d, k))
+    return where
+
+
+def test_levels_and_removable_equal_brute_force(spark):
+    rng = random.Random(51)
+    texts = dict(enumerate(TEXTS))
+    # repeats of just a level's length, just below it and between levels, in passages that are themselves copied
+    for size in (99, 100, 101, 149, 150, 199, 200, 201, 399, 400, 700):
+        shared = _words(rng, size)
+        for _ in range(2):
+            texts[len(texts)] = " ".join(_words(rng, rng.randint(0, 40)) + shared + _words(rng, rng.randint(0, 40)))
+    texts[len(texts)] = texts[len(texts) - 1]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = substring.repeated_passages(docs).collect()
+    later, level = {}, {}
+    for length in (50, 100, 200, 400, 800):
+        for at in _windows(texts, length).values():
+            if len(at) > 1:
+                for d, k in at:
+                    level.setdefault(d, []).append((k, length))
+                if length == 50:
+                    for d, k in at[1:]:
+                        later.setdefault(d, set()).update(range(k, k + length))
+    for r in rows:
+        inside = range(r.start_word, r.start_word + r.n_words)
+        assert r.removable_words == len(later.get(r.doc_id, set()) & set(inside)), r
+        assert r.level_words == max(n for k, n in level[r.doc_id] if k in inside and k + n - 1 in inside), r
+    assert {r.level_words for r in rows} >= {50, 100, 200, 400}
+
+
+@pytest.mark.parametrize("find", [substring.repeated_passages, suffix.suffix_repeats])
+def test_rows_that_share_an_id_are_texts_of_their_own(spark, find):
+    rng = random.Random(52)
+    a, b = _words(rng, 80), _words(rng, 90)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(_words(rng, 7) + a)), (3, None)]
+    got = sorted((r.doc_id, r.start_word, r.n_words) for r in find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0, 80), (2, 7, 80)]
+    again = sorted((r.doc_id, r.n_words) for r in find(spark.createDataFrame([(5, " ".join(b)), (5, " ".join(b))], "doc_id long, text string")).collect())
+    assert again == [(5, 90), (5, 90)]
+
+
+@pytest.mark.parametrize("find", [substring.repeated_passages, suffix.suffix_repeats])
+def test_a_long_text_that_repeats_and_one_passage_everywhere(spark, find):
+    rng = random.Random(53)
+    long, passage = _words(rng, 60_000), _words(rng, 64)
+    texts = [" ".join(long + ["end"] + long)] + [" ".join(_words(rng, 5) + passage + _words(rng, 5)) for _ in range(400)]
+    got = {}
+    for r in find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.start_word, r.n_words))
+    assert sorted(got[0]) == [(0, 60_000), (60_001, 60_000)] and all(got[d] == [(5, 64)] for d in range(1, 401))
 
 
 @pytest.mark.parametrize("find", [substring.repeated_passages, suffix.suffix_repeats])
@@ -169,6 +215,9 @@ def test_pipeline(spark, sf_dir):
 def test_every_stage_takes_odd_rows(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, odd(spark), sf_dir)
+        if name != "bpe":
+            same = got.schema.simpleString() == odd(spark).schema.simpleString()
+            assert same and {r.toxic for r in got.collect()} <= {"clash"} and {r["_content"] for r in got.collect()} <= {"clash"}
         if name == "near_dedup":
             # of the rows with the text of document 4, its own (and those without an id) stay
             assert {r.doc_id for r in got.collect()} == {1, 2, 3, 4, 6, 7, None}

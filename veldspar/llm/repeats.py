@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veldspar.llm.minhash import _groups
 from veldspar.llm.words import anchors, run_hashes, text_buffer, word_hashes
-from veldspar.runtime import ensure_importable
+from veldspar.runtime import Scratch, ensure_importable, numbered
 
 PACKED = "bucket int, hashes binary, docs binary, places binary"
 FLAGGED = "doc_id long, places binary"
@@ -99,6 +99,26 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
 
 
+def told_apart(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """``texts_of`` with ids that no two rows share, and ``doc_id``, ``of`` (the row's own id) where ids had to change.
+
+    Where an id repeats, rows are numbered in order of id and a hash of their text, so that the order of ids is kept.
+    """
+    rows = texts_of(docs)
+    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return rows, None
+    rows = numbered(rows.withColumn("hash", F.xxhash64("text")), ["doc_id", "hash"], scratch)
+    rows = rows.select(F.col("number").alias("doc_id"), "text", F.col("doc_id").alias("of"))
+    return rows, rows.select("doc_id", "of")
+
+
+def named(found: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Results of rows that ``told_apart`` made, under the rows' own ids."""
+    if names is None:
+        return found
+    return found.join(names, "doc_id").select(*(F.col("of").alias(c) if c == "doc_id" else c for c in found.columns))
+
+
 def anchored(docs: DataFrame, length: int, least: int, n: int) -> DataFrame:
     """Packed runs of ``length`` words chosen by winnowing, such that any passage of ``least`` words has one.
 
