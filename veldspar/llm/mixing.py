@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.runtime import Scratch
+from veldspar.runtime import Scratch, packed
 
 #: Topics by the first rule that a text meets; else ``prose``. The rules take linear time on any text.
 TOPICS = (
@@ -28,6 +28,7 @@ TOPIC_SHARES = {"prose": 0.90, "licence": 0.03, "contact": 0.04, "code": 0.03, "
 TEMPER, ROUNDS, TOLERANCE = 0.7, 12, 1e-9
 #: Rounds after which fitting stops though the margins aren't met; ``ROUNDS`` are those that the SQL unrolls.
 MOST_ROUNDS = 100_000
+ADDED = ("topic", "tokens", "p", "u", "sampled", "margin_error")
 
 
 def topic_column(text: str = "text", topics=TOPICS) -> Column:
@@ -35,15 +36,15 @@ def topic_column(text: str = "text", topics=TOPICS) -> Column:
     return reduce(lambda e, t: F.when(F.coalesce(F.col(text).rlike(t[1]), F.lit(False)), t[0]).otherwise(e), reversed(topics), F.lit("prose"))
 
 
-def token_weight(text: str = "text") -> Column:
-    """Tokens of a text as they are weighed: one for each four bytes begun; none for null."""
-    return F.coalesce(F.ceil(F.octet_length(text) / 4), F.lit(0)).cast("long")
+def token_weight(text: str = "text", tokens: str | None = None) -> Column:
+    """Tokens of a text as they are weighed: those counted in a column, else one for each four bytes begun; none for null."""
+    return F.coalesce(F.col(tokens) if tokens else F.ceil(F.octet_length(text) / 4), F.lit(0)).cast("long")
 
 
-def cells(docs: DataFrame) -> DataFrame:
+def cells(docs: DataFrame, tokens: str | None = None) -> DataFrame:
     """``source``, ``lang``, ``topic``, ``n_docs``, ``tokens``; nulls are values of their own, named ``?``."""
     return (
-        docs.select(*_keys(), token_weight().alias("w"))
+        docs.select(*_keys(), token_weight(tokens=tokens).alias("w"))
         .groupBy("_source", "_lang", "_topic").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("w").alias("tokens"))
     )
 
@@ -126,26 +127,28 @@ def uniform(id_col: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def with_probability(docs: DataFrame, **targets) -> DataFrame:
+def with_probability(docs: DataFrame, tokens: str | None = None, **targets) -> DataFrame:
     """``docs`` with ``topic``, ``tokens``, ``p``, ``u``, ``sampled`` (``u < p``) and ``margin_error`` for every row.
 
     ``margin_error`` is the same for all rows: by how much the fitted share that is farthest from its target misses it.
 
     Null source and language are cells of their own (``?``); null or empty text weighs nothing; it is
     ``prose`` and has the probability of its cell. Repeated rows have the same ``u`` and stay or go together; so do all rows of a null
-    id. Columns of ``docs`` called like an added one are replaced. An empty table gives an empty result.
+    id. A row whose ``u`` equals ``p`` isn't sampled. Columns of ``docs`` called like an added one are replaced, all
+    others pass through whatever their names. An empty table gives an empty result. ``tokens`` names a column of
+    token counts to weigh by (as ``bpe`` gives them; null is 0); without it a token is four bytes of text.
 
     One scan makes the cells (partial aggregation, the shuffle is one row a cell and task), one task rakes
     them, and a second scan looks probabilities up in the cells, broadcast where their files are small.
     """
     scratch = Scratch(docs.sparkSession)
-    fitted = scratch.keep(rake_table(cells(docs), **targets).select("_source", "_lang", "_topic", "p", "margin_error"))
-    added = ["topic", "tokens", "p", "u", "sampled", "margin_error"]
-    keep = [c for c in docs.columns if c not in added]
-    rows = docs.select(*keep, *_keys())
+    fitted = scratch.keep(rake_table(cells(docs, tokens), **targets).select("_source", "_lang", "_topic", "p", "margin_error"))
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    rows = docs.select(packed(docs, keep), *_keys(), token_weight(tokens=tokens).alias("tokens"), uniform().alias("u"))
     out = rows.join(scratch.small(fitted), ["_source", "_lang", "_topic"], "left")
-    out = out.select(*keep, F.col("_topic").alias("topic"), token_weight().alias("tokens"), F.round("p", 9).alias("p"), uniform().alias("u"), "margin_error")
-    return out.withColumn("sampled", F.col("u") < F.col("p"))
+    own = [F.col(f"row.`{c}`").alias(c) for c in keep]
+    p = F.round("p", 9)
+    return out.select(*own, F.col("_topic").alias("topic"), "tokens", p.alias("p"), "u", (F.col("u") < p).alias("sampled"), "margin_error")
 
 
 def _rake_sql() -> str:
