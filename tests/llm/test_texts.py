@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tests.compare import connect, spark_rows, sql_rows
 from veldspar.llm import bpe, exact, fingerprint, lines, mixing, queries, toxicity, warc
 
-tiktoken = pytest.importorskip("tiktoken")
 ODD = [
     (1, "", "en", "s"), (2, None, None, None), (3, "x" * 300_000, "en", "s"), (4, "a b c", "en", "s"), (4, "a b c", "en", "s"),
     (5, "a b c", "de", "t"), (None, "a b c", "en", "s"), (None, "a b c", "en", "s"), (6, "\n\n \n", "zz", "s"), (7, "naïve 漢字 😀\r\n\t x  y\n", "fr", "s"),
@@ -22,7 +21,10 @@ ODD = [
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and columns whose names clash with results."""
     df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
-    for c in ("n_tokens", "tokens", "topic", "p", "n_dropped", "score", "toxic", "h", "keep_id", "least", "sig", "places"):
+    for c in (
+        "n_tokens", "tokens", "topic", "p", "n_dropped", "score", "toxic", "h", "keep_id", "least", "sig", "places", "_source", "_lang", "_topic",
+        "_host", "_boilerplate", "_kept", "host", "of", "known", "row", "page", "_content", "_own", "content", "u", "sampled", "margin_error", "key",
+    ):
         df = df.withColumn(c, F.lit("clash"))
     return df
 
@@ -33,6 +35,7 @@ def test_sql(spark, sf_dir, name):
 
 
 def test_tokens_are_those_of_the_merges():
+    tiktoken = pytest.importorskip("tiktoken")
     encoder, _ = bpe.load_encoder(bpe.DEFAULT_VOCABULARY)
     with open(bpe.DEFAULT_VOCABULARY, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -45,6 +48,44 @@ def test_tokens_are_those_of_the_merges():
         assert encoder.decode(encoder.encode(t)) == t
 
 
+def test_bounded_memories_give_the_same_tokens(monkeypatch):
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 12))) for _ in range(3000)) + " " + "ab" * 2000
+    encoder, _ = bpe.load_encoder(bpe.DEFAULT_VOCABULARY)
+    want = list(encoder.encode(text))
+    for every in (1, 4):
+        for name, most in (("MAX_STATES", 50), ("MAX_PAIRS", 40), ("MAX_WORDS", 30), ("MAKE_EVERY", every)):
+            monkeypatch.setattr(bpe, name, most)
+        encoder.forget()
+        assert list(encoder.encode(text)) == want and len(encoder.states) <= 52 and len(encoder.pairs) <= 40
+        assert len(encoder.words) + len(encoder.older) <= 60
+    encoder.forget()
+
+
+def test_memories_are_freed_when_a_task_ends():
+    import gc
+
+    import pyarrow as pa
+
+    class Ranks:
+        value = None
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words here", "and others there"])], names=["doc_id", "text"])
+    out = list(bpe._encode_batches([batch], bpe.DEFAULT_VOCABULARY, Ranks, ["doc_id"], "text", True))
+    encoder, _ = bpe.load_encoder(bpe.DEFAULT_VOCABULARY)
+    assert out[0].num_rows == 2 and gc.isenabled() and not encoder.words and len(encoder.states) == 1 and not encoder.pairs
+
+
+def test_sparing_takes_linear_time():
+    import time
+
+    matcher = toxicity.Matcher([(None, w, v) for w, v in toxicity.SEED.items()])
+    text = "the idiot trash can " * 50_000  # a million characters, half of its hits spared
+    began = time.perf_counter()
+    assert matcher.score(text, "en") == (200_000, 50_000, 50_000.0)
+    assert time.perf_counter() - began < 20
+
+
 def test_decoding_any_bytes_equals_pythons():
     rng = random.Random(7)
     single = {b: bytes([b]) for b in range(256)}
@@ -191,6 +232,42 @@ def test_captures(spark):
     assert warc.captures(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_in_two_partitions_are_two_captures(spark):
+    one = spark.createDataFrame([(1, "http://x.org/a", "page")], "page_id long, url string, html string")
+    got = warc.captures(one.unionByName(one)).collect()
+    assert [(r.page_id, r.n_captures, r.n_bytes) for r in got] == [(1, 2, 4)] * 2
+
+
+def test_a_lookup_reads_a_page_a_block_and_a_range(spark):
+    df = spark.range(400).selectExpr("id page_id", "concat('http://h', id % 7, '.example.com/', id) url", "repeat(concat('text ', id), 50) html")
+    index = warc.CaptureIndex(df.repartition(3), block=10)
+    assert len(index.root) >= 2
+    found = warc.Lookup(index.files, index.root)
+    (line,) = found.find("com,example,h3)/3")
+    assert line[:2] == ["com,example,h3)/3", "3"]
+    assert found.reader.n_reads <= 4  # at most two pages and two blocks may hold a key
+    reader = index.files.reader()
+    ((head, body),) = warc.parse(reader.read(line[2], int(line[3]), int(line[4])))
+    assert body == b"text 3" * 50 and head["warc-target-uri"] == "http://h3.example.com/3" and reader.n_bytes == int(line[4]) < 400
+    whole = sum(r.size for r in index.lines.collect())
+    assert found.reader.n_bytes < whole / 20
+    assert list(found.find("com,example,h3)/4")) == [] and list(found.find("")) == [] and list(found.find("zz")) == []
+
+
+def test_files_of_records_are_read(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+    made = [warc.record(k, f"http://x/{k}", b"p" * k) for k in (0, 3, 3)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(m) for m in made))
+    (tmp_path / "b.warc").write_bytes(made[1] + made[2][:-9])
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = sorted((r.path.rpartition("/")[2], r.type, r.url, bytes(r.payload)) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert got == [
+        ("a.warc.gz", "resource", "http://x/0", b""), ("a.warc.gz", "resource", "http://x/3", b"ppp"), ("a.warc.gz", "resource", "http://x/3", b"ppp"),
+        ("b.warc", "resource", "http://x/3", b"ppp"),
+    ]
+
+
 def test_records_round_trip():
     made = [warc.record(k, f"http://x/{k}\r\n", bytes([k]) * k + b"\r\nWARC/1.0\r\n") for k in range(5)]
     got = list(warc.parse(b"".join(gzip.compress(m) for m in made)))

@@ -14,7 +14,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -48,6 +50,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 12_000
 #: A learned term is in so large a share of a language's toxic rows, is so much likelier there, and has such length.
 SUPPORT, LEAST_RATIO, LEAST_LETTERS, PREFIXES = 0.02, 12.0, 3, (4, 5, 6)
 
+ADDED = ("n_words", "n_hits", "score", "toxic")
+
 _HOMOGLYPHS = {
     "аɑα𝐚": "a", "ЬЪ": "b", "сϲ": "c", "ԁ": "d", "еєҽε": "e", "ɡ": "g", "һ": "h", "іıɩι": "i", "ј": "j", "кκ": "k",
     "ӏ": "l", "м": "m", "пո": "n", "оοօσ": "o", "рρ": "p", "ԛ": "q", "г": "r", "ѕ": "s", "тτ": "t", "υսц": "u",
@@ -62,7 +66,20 @@ for _c in [*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)]:
 _SIGNS = str.maketrans("0134578@$!|", "oieastbasii")
 _SIGN_RUN = re.compile(r"[0134578@$!|]+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
-_STRANGE = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_TABLE)))) + "]")
+
+
+def _ranges(codes: list[int], gap: int = 64) -> str:
+    """A character class of few ranges that holds all codes (and what lies in gaps); a long one is slow to match."""
+    out = [[codes[0], codes[0]]]
+    for c in codes[1:]:
+        if c - out[-1][1] > gap:
+            out.append([c, c])
+        out[-1][1] = c
+    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in out) + "]"
+
+
+#: Whether a text may hold a sign of ``_TABLE``.
+_STRANGE = re.compile(_ranges(sorted(_TABLE)))
 
 
 def fold(text: str) -> str:
@@ -115,7 +132,10 @@ class Matcher:
             if weight > hits.get(begin, 0.0):
                 hits[begin] = weight
         if spared and hits:
-            hits = {p: w for p, w in hits.items() if not any(a <= p <= z for a, z in spared)}
+            # sorted by beginning, and the farthest end so far: a hit is spared if a phrase begun by then goes on
+            spared.sort()
+            starts, ends = [a for a, _ in spared], list(accumulate((z for _, z in spared), max))
+            hits = {p: w for p, w in hits.items() if not (k := bisect_right(starts, p)) or ends[k - 1] < p}
         return n_words, len(hits), math.fsum(hits.values())
 
 
@@ -199,13 +219,14 @@ def score_documents(
     """``keep`` columns (default ``doc_id``) with ``n_words``, ``n_hits``, ``score`` and ``toxic``, for every row.
 
     With ``labels`` the lexicon is learned first (see :func:`learn`). Null or empty text has no words, score 0
-    and isn't toxic; a null language meets the terms of any language and those learned under null. Repeated
-    rows give repeated results; an empty table gives an empty one. Kept columns called like an added one are
+    and isn't toxic; a null language meets the terms of any language and those learned under null. A score equal
+    to ``threshold`` is toxic. Texts of any length are matched whole, in time linear in it (but for sorting the
+    exception phrases found). Repeated rows give repeated results; an empty table gives an empty one. Kept columns called like an added one are
     dropped. One scan and no shuffle; the lexicon is bounded whatever the corpus.
     """
     ensure_importable(docs.sparkSession)
-    added = ["n_words", "n_hits", "score", "toxic"]
-    keep = [c for c in (keep or ["doc_id"]) if c not in added]
+    added = list(ADDED)
+    keep = [c for c in (keep or ["doc_id"]) if c.lower() not in added]
     if terms is None:
         terms = [(None, w, v) for w, v in SEED.items()]
         if labels is not None:
