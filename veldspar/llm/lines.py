@@ -2,54 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.llm import minhash
-from veldspar.runtime import Scratch
+from veldspar.runtime import Scratch, packed
 
 #: A line in more than this share of its host's pages, and in so many pages, is boilerplate.
 RATIO, LEAST_PAGES = 0.01, 3
 
 
-def boilerplate_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate_lines(
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, page: str | None = None, scratch: Scratch | None = None,
+) -> DataFrame:
     """``host``, ``line``, ``n_pages``, ``host_pages`` of each line that is boilerplate on its host.
 
-    A page is a row with text; a line counts once a page. Lines without anything but white space aren't counted.
-    At most (mean lines of a page) / ``ratio`` lines of a host can be boilerplate, whatever the size. Rows of a
-    null host form a host of their own.
+    A page is a row with text, or where ``page`` names a column, all rows with one value of it and equal text. A line
+    counts once a page; one in exactly ``ratio`` of the pages isn't boilerplate. Lines without anything but blanks
+    aren't counted. At most (mean lines of a page) / ``ratio`` lines of a host can be boilerplate, whatever the size.
+    Rows of a null host form a host of their own; null texts are no pages; a table without a page gives no lines.
+
+    Lines are counted by host and a 64-bit hash first (partial counts, some 20 bytes each, are shuffled, so a line of
+    every page costs each task one row); the lines of hashes that pass are then counted themselves.
     """
-    pages = docs.where("text is not null").select(F.col(host).alias("host"), "text")
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where("trim(line) <> ''")
-    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= least_pages)
-    return (
-        counted.withColumnRenamed("host", "_h").join(totals, F.expr("_h <=> host"))
-        .where(F.col("n_pages") > ratio * F.col("host_pages"))
-        .select("host", "line", "n_pages", "host_pages")
-    )
+    scratch = scratch or Scratch(docs.sparkSession)
+    own = [F.col(page).alias("page")] if page else []
+    pages = docs.where("text is not null").select(F.col(host).alias("host"), "text", *own)
+
+    def counted(rows: DataFrame, what: str) -> DataFrame:
+        rows = rows.select("host", what, "page").distinct() if page else rows
+        return rows.groupBy("host", what).agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= least_pages)
 
+    totals = (pages.select("host", "page").distinct() if page else pages).groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    totals = scratch.keep(totals)
+    lines = pages.select("host", *(["page"] if page else []), F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where("trim(line) <> ''")
 
-def distinct_pages(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``host`` and ``text`` of one page for each group of near copies on a host.
+    def frequent(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumnRenamed("host", "_h").join(scratch.small(totals), F.expr("_h <=> host"))
+        return rows.where(F.col("n_pages") > ratio * F.col("host_pages")).drop("_h")
 
-    Texts are told apart by a 64-bit hash and grouped over all hosts, whatever their ids; of a group's texts on a
-    host the one of least hash stands for all. A text without a word is a group of its own; null texts are left out.
+    hashed = lines.withColumn("hash", F.xxhash64("line"))
+    hot = scratch.keep(frequent(counted(hashed, "hash")).select(F.col("host").alias("_h"), F.col("hash").alias("_hash")))
+    found = hashed.join(scratch.small(hot), F.expr("_hash = hash and _h <=> host"), "left_semi")
+    return frequent(counted(found, "line")).select("host", "line", "n_pages", "host_pages")
 
-    Hashes and signatures are grouped as in ``near_duplicates``; each distinct text of a host is shuffled once.
+
+def distinct_pages(docs: DataFrame, host: str = "source", scratch: Scratch | None = None) -> DataFrame:
+    """``host``, ``text`` and ``page`` of one page for each group of near copies on a host.
+
+    Texts are told apart by a 64-bit hash (``page``) and grouped over all hosts, whatever their ids; of a group's
+    texts on a host the one of least hash stands for all. Rows of equal text have one ``page`` and all stay. A text
+    without a word is a group of its own; null texts are left out.
+
+    Hashes and signatures are grouped as in ``near_duplicates``; no text is shuffled.
     """
-    scratch = Scratch(docs.sparkSession)
-    pages = docs.where("text is not null").select(F.col(host).alias(host), "text", F.xxhash64("text").alias("_content"))
-    groups = minhash.near_duplicates(pages.select(F.col("_content").alias("doc_id"), "text"), scratch=scratch)
-    grouped = scratch.keep(groups.where("group_size > 1").select(F.col("doc_id").alias("_content"), "group_id"))
-    seen = pages.select(host, "_content").distinct().join(grouped, "_content")
-    first = seen.groupBy(F.col(host).alias("_h"), "group_id").agg(F.min("_content").alias("_first"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    pages = docs.where("text is not null").select(F.col(host).alias("host"), "text", F.xxhash64("text").alias("page"))
+    groups = minhash.near_duplicates(pages.select(F.col("page").alias("doc_id"), "text"), scratch=scratch)
+    grouped = scratch.keep(groups.where("group_size > 1").select(F.col("doc_id").alias("page"), "group_id"))
+    seen = pages.select("host", "page").distinct().join(grouped, "page")
+    first = seen.groupBy(F.col("host").alias("_h"), "group_id").agg(F.min("page").alias("_first"))
     extra = scratch.keep(
-        seen.join(first, F.expr(f"_h <=> `{host}`") & (seen.group_id == first.group_id) & F.expr("_content <> _first"))
-        .select("_h", F.col("_content").alias("_c"))
+        seen.join(first, F.expr("_h <=> host") & (seen.group_id == first.group_id) & F.expr("page <> _first"))
+        .select("_h", F.col("page").alias("_p"))
     )
-    one = pages.dropDuplicates([host, "_content"])
-    return one.join(scratch.small(extra), F.expr(f"_h <=> `{host}` and _c = _content"), "left_anti").select(host, "text")
+    return pages.join(scratch.small(extra), F.expr("_h <=> host and _p = page"), "left_anti").select(F.col("host").alias(host), "text", "page")
 
 
 def drop_boilerplate(
@@ -58,32 +75,40 @@ def drop_boilerplate(
 ) -> DataFrame:
     """``docs`` with the boilerplate lines of their host taken out of ``text``, and ``n_dropped`` lines counted.
 
-    Every row stays: a page of nothing but boilerplate has an empty text, a null text stays null (0 dropped).
-    Other lines keep their order and bytes. ``n_chars``, where named and present, is set to the new length for
-    rows that changed. Repeated rows are pages of their own. Extra columns pass through; one called
-    ``n_dropped`` is replaced. An empty table gives an empty result. Lines are counted over the pages of ``counted``
-    where it is given (as by ``distinct_pages``, so that copies of one page can't make its lines boilerplate).
+    Every row stays: a page of nothing but boilerplate has an empty text, a null text stays null (0 dropped), an
+    empty text stays empty. Other lines keep their order and bytes. ``n_chars``, where named and present, is set to
+    the new length for rows that changed. Repeated rows are pages of their own. Extra columns pass through, whatever
+    their names; one called ``n_dropped`` is replaced. A line in exactly ``ratio`` of its host's pages stays. An empty
+    table gives an empty result. Lines are counted over the pages of ``counted`` where it is given (as by
+    ``distinct_pages``, so that copies of one page can't make its lines boilerplate).
 
-    Counting shuffles (host, line, count) partials. The lines found are written, their size is checked, and
-    they are broadcast by host if small; else the join is shuffled and left to adaptive skew handling.
+    Counting shuffles hashes and counts (see ``boilerplate_lines``). The lines found are written, their size is
+    checked, and they are broadcast by host if small; else the join is shuffled and left to adaptive skew handling.
+    A page's lines meet its host's by a hash set, then only those of them that are boilerplate.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.keep(
-        boilerplate_lines(docs if counted is None else counted, host, ratio, least_pages)
-        .groupBy("host").agg(F.collect_set("line").alias("_boilerplate")).withColumnRenamed("host", "_host")
+    found = (
+        boilerplate_lines(docs, host, ratio, least_pages, scratch=scratch) if counted is None
+        else boilerplate_lines(counted, host, ratio, least_pages, "page", scratch)
     )
+    found = scratch.keep(found.groupBy(F.col("host").alias("of")).agg(F.collect_set("line").alias("known")))
+    keep = [c for c in docs.columns if c.lower() != "n_dropped"]
+    rows = docs.select(packed(docs, [c for c in keep if c != "text"]), F.col(host).alias("host"), "text").join(scratch.small(found), F.expr("host <=> of"), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains("_boilerplate", x))
-    changed = F.col("_boilerplate").isNotNull() & F.col("text").isNotNull()
-    out = docs.drop("n_dropped").join(scratch.small(found), F.col(host).eqNullSafe(F.col("_host")), "left")
-    out = out.withColumn("_kept", F.when(changed, kept))
-    out = out.withColumn("n_dropped", F.when(changed, F.size(lines) - F.size("_kept")).otherwise(0).cast("long"))
-    out = out.withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col("text")))
-    if n_chars and n_chars in docs.columns:
-        out = out.withColumn(
-            n_chars, F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
-        )
-    return out.select(*[c for c in docs.columns if c != "n_dropped"], "n_dropped")
+    rows = rows.select("row", "text", F.array_intersect(lines, "known").alias("hits"))
+    cut = F.when(F.size("hits") > 0, F.filter(lines, lambda x: ~F.array_contains("hits", x)))
+    rows = rows.select("row", "text", cut.alias("cut")).withColumn("dropped", F.when(F.col("cut").isNotNull(), F.size(lines) - F.size("cut")).otherwise(0))
+    text = F.when(F.col("cut").isNotNull(), F.array_join("cut", "\n")).otherwise(F.col("text"))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return text.alias(c)
+        own = F.col(f"row.`{c}`")
+        if c == n_chars:
+            own = F.when(F.col("cut").isNotNull(), F.length(text).cast(docs.schema[c].dataType)).otherwise(own)
+        return own.alias(c)
+
+    return rows.select(*map(column, keep), F.col("dropped").cast("long").alias("n_dropped"))
 
 
 LINES_SQL = f"""
