@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,38 @@ def hex_lower(data) -> Column:
     return F.lower(F.hex(_c(data)))
 
 
+def vector_of_hex(text) -> Column:
+    """Floats of a vector's hexadecimal bytes (four each, the lowest byte first); null for null, an empty array for none.
+
+    The bits are taken apart in arithmetic that doubles do exactly. Bytes left over at the end are ignored.
+    """
+    text = _c(text)
+
+    def one(i: Column) -> Column:
+        part = F.substring(text, i * 8 + 1, F.lit(8))
+        bits = F.conv(F.concat(*(F.substring(part, F.lit(k), F.lit(2)) for k in (7, 5, 3, 1))), 16, 10).cast("long")
+        power, rest = F.shiftright(bits, 23).bitwiseAND(255), bits.bitwiseAND(0x7FFFFF).cast("double")
+        size = F.when(power == 0, rest * 2.0**-149).when(power < 255, (1 + rest * 2.0**-23) * F.pow(F.lit(2.0), power - 127))
+        size = F.coalesce(size, F.when(rest == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+        return F.when(bits >= 1 << 31, -size).otherwise(size).cast("float")
+
+    count = F.floor(F.length(text) / 8).cast("int")
+    return F.when(count == 0, F.array().cast("array<float>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), one))
+
+
+def hex_of_vector(vector) -> Column:
+    """A vector's hexadecimal bytes, as ``vector_of_hex`` reads them; null for null.
+
+    Arrow batches, since no built-in gives a float's bits.
+    """
+
+    @F.pandas_udf("string")
+    def encode(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes().hex())
+
+    return encode(_c(vector))
+
+
 def csv_items(text) -> Column:
     """Comma-separated items, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(_c(text), ","), lambda x: F.trim(x)), lambda x: x != "")
