@@ -203,3 +203,32 @@ def test_scalars(spark):
     assert [r[0] for r in f.select(scalars.fragment_name("f", "d", "s", "e")).collect()] == ["d:5-5", "f", "doc:0-0"]
     b = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"a\x00"),), (bytearray(b"\xff\xfe"),), (None,)], "b binary")
     assert [r[0] for r in b.select(scalars.is_binary("b")).collect()] == [False, True, True, False]
+
+
+def test_patterns_are_those_of_the_engine_that_runs_them(spark):
+    rows = [("a", "abc\n"), ("b", "a++b\nx\n"), ("c", "ÄÖ 12\n\nend"), ("d", "a\n"), ("e", "see (?=x) here")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    found = lambda p, **o: [(r.path, r.matches) for r in lexical.grep(files, p, **o).collect()]
+    assert found(r"\p{L}{3}") == [("a", 1), ("c", 1), ("e", 1)]
+    assert found(r"(?P<first_one>a)b") == [("a", 1)]
+    assert found("^$") == [("a", 1), ("b", 1), ("c", 1), ("d", 1)]
+    assert found(r"\bx\b") == [("b", 1), ("e", 1)]
+    assert found("a++b") == [("b", 1)] and found("(?=x)") == [("e", 1)] and found("[") == []
+    blocks = lambda **o: [len(r.snippets) for r in lexical.grep(files, "^$", **o).collect()]
+    assert blocks(max_files=None, max_blocks=3) == [1, 1, 1] and blocks(max_files=2, max_blocks=9) == [1, 1] and blocks(max_files=None, max_blocks=None) == [1] * 4
+
+
+def test_one_file_tells_whether_it_was_cut(spark):
+    files = spark.createDataFrame([("a", "x\n" * 5), ("b", "x\n")], "path string, text string")
+    assert [(r.path, r.matches, len(r.snippets), r.truncated) for r in lexical.grep_file(files, "a", "x", max_blocks=3).collect()] == [("a", 5, 3, True)]
+    assert [(r.matches, r.truncated) for r in lexical.grep_file(files, "a", "x").collect()] == [(5, False)]
+    assert lexical.grep_file(files, "a", "x", max_size=4).first().truncated and lexical.grep_file(files, "b", "q").count() == 0
+
+
+def test_numbers_run_through_all_partitions(spark):
+    from veldspar.runtime import Scratch, numbered
+
+    df = spark.range(1000).selectExpr("id % 100 k", "hash(id) v")
+    rows = numbered(df, ["k", "v"], Scratch(spark)).collect()
+    assert [(r.k, r.v) for r in sorted(rows, key=lambda r: r.number)] == sorted((r.k, r.v) for r in df.collect())
+    assert sorted(r.number for r in rows) == list(range(1000)) and numbered(df.limit(0), ["k"], Scratch(spark)).count() == 0

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions.scalars import is_binary
@@ -22,15 +24,34 @@ def split_patterns(expression: str) -> list[str]:
     return [p.strip() for part in parts for p in part.split("|") if p.strip()]
 
 
+#: What linear-time expressions don't have: look-around, atomic groups, back references, possessive repetition.
+_FOREIGN = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|[*+?}]\+)")
+#: What makes a line's match depend on what is around it; texts can't be tested as wholes then.
+_SURROUNDED = re.compile(r"[\^$]|\\[AzZGbB]|\(\?[^:]")
+
+
+def _java(pattern: str) -> str:
+    """The pattern as Java's expressions have it: named groups are ``(?<name>``, their names letters and digits."""
+    return re.sub(r"\(\?P<([A-Za-z_]\w*)>", lambda m: "(?<g" + m.group(1).replace("_", "0") + ">", pattern)
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether the engine that runs expressions takes the pattern (asked of the driver's JVM)."""
+    if _FOREIGN.search(pattern):
+        return False
+    try:
+        SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def compile_patterns(patterns: list[str], ignore_case: bool = False) -> str | None:
     """One Java expression for any of the patterns; one that doesn't compile is taken literally. None for none."""
     out = []
     for p in patterns:
-        try:
-            re.compile(p)
-        except re.error:
-            p = re.escape(p)
-        out.append(f"(?:{p})")
+        own = _java(p)
+        out.append(f"(?:{own if _compiles(own) else re.escape(p)})")
     return None if not out else ("(?i)" if ignore_case else "") + "|".join(out)
 
 
@@ -64,8 +85,8 @@ def matching_lines(files: DataFrame, pattern: str, exclude: str = "", ignore_cas
     drop = compile_patterns(split_patterns(exclude), ignore_case)
     lines = F.split(F.col(text), "\n", -1)
     numbered = F.filter(F.transform(lines, lambda x, i: F.when(line_matches(x, include, drop), i)), lambda i: i.isNotNull())
-    if not re.search(r"\\[AzZGbB]|\(\?[^:]", include.removeprefix("(?i)")):  # texts without any match aren't split
-        files = files.where(F.rlike(F.col(text), F.lit(("(?im)" if ignore_case else "(?m)") + include.removeprefix("(?i)"))))
+    if not _SURROUNDED.search(include.removeprefix("(?i)")):  # texts without any match aren't split
+        files = files.where(F.rlike(F.col(text), F.lit(include)))
     return files.withColumn("hits", numbered).where(F.size("hits") > 0)
 
 
@@ -83,8 +104,10 @@ def grep(
     """
     rows = files.where(listed(path, include, exclude) & ~is_binary(text)).select(F.col(path).alias("path"), cut_bytes(F.col(text), max_size).alias("text"))
     rows = matching_lines(rows, pattern, exclude_pattern, ignore_case).withColumn("matches", F.size("hits").cast("long"))
-    if max_files is not None:
-        rows = rows.orderBy("path").limit(max_files)
+    # each file of a match takes a block, so no more files than blocks are asked for
+    most = [n for n in (max_files, max_blocks if mode != "head" else None) if n is not None]
+    if most:
+        rows = rows.orderBy("path").limit(min(most))
     lines = F.split("text", "\n", -1)
 
     def snippet(start: Column) -> Column:
@@ -98,14 +121,25 @@ def grep(
     if mode == "head":
         return rows.select("path", "matches", F.array(snippet(F.lit(0))).alias("snippets"))
     found = "hits"
-    if max_blocks is not None:
-        before = F.sum("matches").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)) if max_files is not None else None
-        if before is not None:
-            rows = rows.withColumn("_left", F.lit(max_blocks) - F.coalesce(before, F.lit(0))).where("_left > 0")
-            rows = rows.withColumn("hits", F.slice("hits", F.lit(1), F.least(F.size("hits"), F.col("_left").cast("int"))))
+    if max_blocks is not None:  # of at most ``max_blocks`` files, as above
+        before = F.sum("matches").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("_left", F.lit(max_blocks) - F.coalesce(before, F.lit(0))).where("_left > 0")
+        rows = rows.withColumn("hits", F.slice("hits", F.lit(1), F.least(F.size("hits"), F.col("_left").cast("int"))))
     return rows.select("path", "matches", F.transform(found, lambda i: snippet(F.greatest(i - snippet_lines // 2, F.lit(0)))).alias("snippets"))
 
 
+def grep_file(files: DataFrame, file: str, pattern: str, max_blocks: int = MAX_BLOCKS, max_size: int = MAX_SIZE, path: str = "path", text: str = "text", **options) -> DataFrame:
+    """One file's ``path``, ``matches``, ``snippets`` and ``truncated``: whether its text or its snippets were cut.
+
+    A file without a match has no row; a binary one neither. Other options are those of ``grep``.
+    """
+    one = files.where(F.col(path) == file)
+    found = grep(one, pattern, max_files=None, max_blocks=max_blocks, max_size=max_size, path=path, text=text, **options)
+    size = one.select(F.col(path).alias("path"), F.octet_length(text).alias("_size"))
+    cut = (F.col("_size") > max_size) | (F.col("matches") > F.size("snippets")) & F.lit(options.get("mode", "match") != "head")
+    return found.join(size, "path").select("path", "matches", "snippets", cut.alias("truncated"))
+
+
 def grep_stats(files: DataFrame, pattern: str, exclude_pattern: str = "", ignore_case: bool = False, text: str = "text") -> DataFrame:
     """Files scanned and matched, and lines matched, in one pass."""
     include, drop = (compile_patterns(split_patterns(p), ignore_case) for p in (pattern, exclude_pattern))
