@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.runtime import Scratch, numbered
+
 ASSET_KEY, DOC_KEY, STATE_KEY = ["dataset_id", "asset_id"], ["dataset_id", "id"], ["dataset_id", "shadow_table"]
 
 
@@ -72,14 +74,14 @@ def allocate_scn(rows: DataFrame, counters: DataFrame, order: list[str], by: str
     return rows.drop("scn").join(base, by, "left").withColumn("scn", (F.coalesce("_last", F.lit(0)) + number).cast("long")).drop("_last")
 
 
-def append_events(log: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+def append_events(log: DataFrame, new: DataFrame, order: list[str], scratch: Scratch | None = None) -> DataFrame:
     """Events numbered after the log's greatest SCN in ``order``; ``id`` is the number as text.
 
-    Numbering is one sequence, so the new events (not the log) pass through one task.
+    Numbering is one sequence over all new events, made by ranges of ``order`` (see ``runtime.numbered``).
     """
-    last = log.agg(F.coalesce(F.max("scn"), F.lit(0)).alias("_last"))
-    numbered = new.crossJoin(F.broadcast(last)).withColumn("scn", (F.col("_last") + F.row_number().over(Window.orderBy(*order))).cast("long"))
-    return numbered.drop("_last").withColumn("id", F.col("scn").cast("string"))
+    last = log.agg(F.coalesce(F.max("scn"), F.lit(0))).first()[0]
+    rows = numbered(new, order, scratch or Scratch(new.sparkSession), "scn").withColumn("scn", F.col("scn") + (last + 1))
+    return rows.withColumn("id", F.col("scn").cast("string"))
 
 
 def claim_jobs(jobs: DataFrame, n: int, worker: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldspar.functions.scalars import file_uri, relative_path
 from veldspar.operators.lexical import list_files, read
 from veldspar.operators.matching import PathRules
+from veldspar.runtime import ensure_importable
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
@@ -16,17 +21,50 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
     bare = base.partition("://")[2] if "://" in base else base.removeprefix("file:")
     bare = bare if bare.startswith("/") else "/" + bare.partition("/")[2]
-    return rows.withColumn("full_path", plain).withColumn("path", relative_path(plain, bare))
+    return rows.withColumn("uri", F.col("path")).withColumn("full_path", plain).withColumn("path", relative_path(plain, bare))
+
+
+def _local(uri: str) -> tuple:
+    """File system and path of a file's URI."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file" or not rest:
+        return fs.LocalFileSystem(), "/" + (rest if scheme == "file" else uri).lstrip("/")
+    return fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+
+
+def contents(rows: DataFrame, uri: str = "uri", at_once: int = 32 << 20) -> DataFrame:
+    """``rows`` with ``content``: the bytes of the file that ``uri`` names, read by the tasks, that of no other file."""
+    ensure_importable(rows.sparkSession)
+    schema = T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            data, begin, held = [], 0, 0
+            for k, name in enumerate(batch.column(uri).to_pylist()):
+                system, path = _local(name)
+                with system.open_input_stream(path) as f:
+                    data.append(f.read())
+                held += len(data[-1])
+                if held >= at_once or k + 1 == batch.num_rows:
+                    part = batch.slice(begin, k + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "content"])
+                    data, begin, held = [], k + 1, 0
+
+    return rows.mapInArrow(run, schema)
 
 
 def scan(spark: SparkSession, root: str, rules: PathRules | None = None, dataset: str = "") -> DataFrame:
     """``dataset_id``, ``asset_id``, ``path`` (below root), ``md5``, ``size``, ``mod_time``, ``content`` of a root's files.
 
-    Path and size rules are tested on the listing; contents of excluded files are dropped at once.
+    Path and size rules are tested on the listing, which reads no contents; then those of the files that are left are
+    read, dealt out anew so that few tasks don't hold them all.
     """
-    rows = _files(spark, root)
+    rows = _files(spark, root).select(F.col("uri"), "path", "length", "modificationTime")
     if rules is not None:
         rows = rows.where(rules.kept("path", "length"))
+    rows = contents(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"))
     return rows.select(
         F.lit(dataset).alias("dataset_id"), F.col("path").alias("asset_id"), "path", F.md5("content").alias("md5"),
         F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content",
