@@ -137,14 +137,15 @@ _EMBED_SQL = """
 WITH t AS (SELECT item_id, hex(encode(text)) AS x, strlen(text) AS n FROM benchmark WHERE text IS NOT NULL),
 h AS (SELECT item_id, list_reduce(list_prepend(0::bigint, [('0x' || x[2 * k - 1:2 * k])::bigint for k in range(1, n + 1)]),
   lambda a, b: xor((a * 16777619) % 4294967296, b)) AS h FROM t)
-SELECT item_id, h AS text_hash, ((h * 1664525 + 1013904223) % 4294967296) % 10000 / 10000.0::double AS first FROM h"""
+SELECT item_id, h AS text_hash, [x % 10000 / 10000.0::double for x in list_reduce(list_prepend([h::bigint], [[k] for k in range(64)]),
+  lambda a, b: list_append(a, (a[len(a)] * 1664525 + 1013904223) % 4294967296))[2:65]] AS embedding FROM h"""
 
 
 @query(_EMBED_SQL)
 def v11_simple_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash and first value of the deterministic embedding of all benchmark texts."""
+    """Hash and deterministic embedding of all benchmark texts."""
     b = table(spark, sf_dir, "benchmark").where("text is not null")
-    return b.select("item_id", emb.text_hash("text").alias("text_hash"), F.element_at(emb.simple_embedding("text"), 1).alias("first"))
+    return b.select("item_id", emb.text_hash("text").alias("text_hash"), F.transform(emb.simple_embedding("text"), lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
 
 
 @query()
@@ -242,11 +243,14 @@ def f9_list_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.assets(spark, sf_dir).where(listed("path", ["en/**", "de/*.txt"], ["*[05].txt"])).select("dataset_id", "path")
 
 
-@query("SELECT doc_id, text LIKE '%' || chr(0) || '%' AS nul, len(regexp_extract_all(text[1:100], '[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]')) > 100 AS control FROM documents WHERE text IS NOT NULL")
+@query("""
+WITH d AS (SELECT doc_id, text, hex(encode(replace(text, 'e', chr(1)))[1:1024]) AS h FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, text LIKE '%' || chr(0) || '%' AS nul,
+  len(list_filter(regexp_extract_all(h, '..'), lambda x: regexp_full_match(x, '0[1-8BCEF]|1.'))) > strlen(h) // 20 AS control FROM d""")
 def f10_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether documents look binary."""
+    """Whether documents look binary: as they are, and by control bytes if each e were one."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", sc.is_binary("text").alias("nul"), sc.is_binary_content("text").alias("control"))
+    return d.select("doc_id", sc.is_binary("text").alias("nul"), sc.is_binary_content(F.replace("text", F.lit("e"), F.lit("\x01"))).alias("control"))
 
 
 # --- lexical search -----------------------------------------------------------------------------------
@@ -530,10 +534,10 @@ def w15_raise_scn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.raise_scn(views.cursors(spark, a), views.cursors(spark, a.where("archived = 0"), 3))
 
 
-@query("SELECT event_id, 5000000 + row_number() OVER (ORDER BY ts, event_id) AS scn, (5000000 + row_number() OVER (ORDER BY ts, event_id))::varchar AS id FROM events WHERE event_type = 'purchase'")
+@query("SELECT event_id, 5000000 + row_number() OVER (ORDER BY ts, event_id) AS scn, (5000000 + row_number() OVER (ORDER BY ts, event_id))::varchar AS id FROM events")
 def w20_append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New events numbered after a log's last."""
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "ts")
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
     log = spark.createDataFrame([(5_000_000,)], "scn long")
     return up.append_events(log, e, ["ts", "event_id"]).select("event_id", "scn", "id")
 
@@ -566,41 +570,64 @@ def l2_asset_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH l AS ({views.LOG_SQL}), s AS (SELECT dataset_id, document_id AS id, max(scn) AS scn, arg_max(op, scn) AS op, arg_max(content, scn) FILTER (op <> 'delete') AS content, count(*) FILTER (op <> 'delete') AS n FROM l GROUP BY ALL)
-SELECT dataset_id, id, content, scn, (op = 'delete')::int AS archived FROM s WHERE n > 0""")
+WITH l AS (SELECT *, op <> 'delete' AND NOT regexp_matches('docs/' || asset_id || '.txt', '/a[0-9]*7[.]txt$') AS kept FROM ({views.LOG_SQL})),
+s AS (SELECT dataset_id, document_id AS id, max(scn) FILTER (kept) AS told, max(scn) FILTER (op = 'delete') AS dead, arg_max(content, scn) FILTER (kept) AS content,
+  arg_max(embedding, scn) FILTER (kept) AS embedding FROM (SELECT *, [1.0, scn / 1024] AS embedding FROM l) GROUP BY ALL)
+SELECT dataset_id, id, content, embedding[1]::double AS e0, embedding[2]::double AS e1, greatest(told, coalesce(dead, 0)) AS scn, (coalesce(dead, 0) > told)::int AS archived FROM s WHERE told IS NOT NULL""")
 def l1_incremental_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first half of the log applied as a whole, the rest on top of it: the same state as in one go."""
+    """The first half of the log applied as a whole, the rest on top of it, under a root's rules: the same state, vectors too, as in one go."""
     log = views.change_log(spark, sf_dir)
+    vector = F.concat(F.lit("0000803f"), sc.hex_of_vector(F.array((F.col("scn") / 1024).cast("float"))))
+    payload = F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.lit(',"embedding":"'), vector, F.lit('"}'))
+    log = log.withColumn("payload", payload)
+    rules = PathRules(exclude=["git:**/a*7.txt"])
+    state = views.cursors(spark, log).select("dataset_id", "shadow_table", "last_scn")
+    first = log.join(state, ["dataset_id", "shadow_table"]).where("scn <= last_scn").select(*log.columns)
+    docs, _ = changelog.apply_log(changelog.final_state(first, rules), log, state, rules)
+    return docs.select("dataset_id", "id", "content", F.col("embedding")[0].cast("double").alias("e0"), F.col("embedding")[1].cast("double").alias("e1"), "scn", "archived")
+
+
+@query(f"""
+WITH l AS (SELECT *, op <> 'delete' AND NOT regexp_matches('docs/' || asset_id || '.txt', '/a[0-9]*7[.]txt$') AS kept FROM ({views.LOG_SQL})),
+s AS (SELECT dataset_id, asset_id, max(scn) FILTER (kept) AS told, max(scn) FILTER (op = 'delete') AS dead, arg_max(md5, scn) FILTER (kept) AS md5 FROM l GROUP BY ALL)
+SELECT dataset_id, asset_id, md5, greatest(told, coalesce(dead, 0)) AS scn, (coalesce(dead, 0) > told)::int AS archived FROM s WHERE told IS NOT NULL""")
+def l1_incremental_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets after the first half of the log and then the rest, under a root's rules."""
+    log, rules = views.change_log(spark, sf_dir), PathRules(exclude=["git:**/a*7.txt"])
     state = views.cursors(spark, log).select("dataset_id", "shadow_table", "last_scn")
-    first = log.join(F.broadcast(state.select("dataset_id", "last_scn")), "dataset_id").where("scn <= last_scn").drop("last_scn")
-    docs, _ = changelog.apply_log(changelog.final_state(first), log, state)
-    return docs.select("dataset_id", "id", "content", "scn", "archived")
+    first = log.join(state, ["dataset_id", "shadow_table"]).where("scn <= last_scn").select(*log.columns)
+    return changelog.apply_assets(changelog.asset_state(first, rules), log, state, rules).select("dataset_id", "asset_id", "md5", "scn", "archived")
 
 
 @query(f"""
-WITH l AS (SELECT *, (dense_rank() OVER (PARTITION BY dataset_id ORDER BY scn) - 1) // 200 AS batch FROM ({views.LOG_SQL}))
+WITH l AS (SELECT *, (dense_rank() OVER (PARTITION BY dataset_id ORDER BY scn) - 1) // 200 AS batch FROM (SELECT * REPLACE (scn // 12 AS scn) FROM ({views.LOG_SQL})))
 SELECT dataset_id, batch, count(*) FILTER (op = 'insert') AS inserts, count(*) FILTER (op = 'update') AS updates, count(*) FILTER (op = 'delete') AS deletes, min(scn) AS min_scn, max(scn) AS max_scn FROM l GROUP BY ALL""")
 def a5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log batches of 200 SCNs with their counters."""
-    return changelog.batch_counters(changelog.batches(views.change_log(spark, sf_dir), 200))
+    """Log batches of 200 SCNs, which several entries share, with their counters."""
+    log = views.change_log(spark, sf_dir).withColumn("scn", F.floor(F.col("scn") / 12).cast("long"))
+    return changelog.batch_counters(changelog.batches(log, 200))
 
 
-@query(f"WITH d AS ({views.CHUNKS_SQL}), c AS (SELECT dataset_id, max(scn) // 2 AS c FROM d GROUP BY ALL) SELECT d.dataset_id, id AS document_id, scn, CASE WHEN archived <> 0 THEN 'delete' ELSE 'update' END AS op FROM d JOIN c USING (dataset_id) WHERE scn > c")
+@query(f"WITH d AS ({views.CHUNKS_SQL}), c AS (SELECT dataset_id, max(scn) // 2 AS c FROM d GROUP BY ALL) SELECT d.dataset_id, id AS document_id, scn, CASE WHEN archived <> 0 THEN 'delete' ELSE 'update' END AS op, asset_id, id AS named, archived::varchar AS state FROM d JOIN c USING (dataset_id) WHERE scn > c")
 def w10_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents above a downstream cursor as log entries."""
     d = views.chunked_documents(spark, sf_dir).select("dataset_id", "id", "asset_id", "scn", "archived")
-    return changelog.push_entries(d, views.cursors(spark, d)).select("dataset_id", "document_id", "scn", "op")
+    told = [F.get_json_object("payload", f"$.{k}").alias(n) for k, n in (("asset_id", "asset_id"), ("id", "named"), ("archived", "state"))]
+    return changelog.push_entries(d, views.cursors(spark, d)).select("dataset_id", "document_id", "scn", "op", *told)
 
 
 @query(f"""
-WITH a AS ({views.ASSETS_SQL}), x AS (SELECT dataset_id, asset_id, CASE WHEN scn % 5 = 0 THEN 'insert' WHEN scn % 7 = 0 THEN 'delete' ELSE 'update' END AS op FROM a
+WITH a AS ({views.ASSETS_SQL}), x AS (SELECT dataset_id, asset_id, md5, (CASE WHEN scn % 7 <> 0 AND scn % 3 = 0 THEN scn - 1000000000 ELSE size END)::varchar AS size,
+    CASE WHEN scn % 5 = 0 THEN 'insert' WHEN scn % 7 = 0 THEN 'delete' ELSE 'update' END AS op FROM a
   WHERE (scn % 5 = 0) <> (scn % 7 = 0) OR (scn % 5 <> 0 AND scn % 7 <> 0 AND scn % 3 = 0))
-SELECT dataset_id, asset_id, op, 100 + row_number() OVER (PARTITION BY dataset_id ORDER BY asset_id) AS scn FROM x""")
+SELECT dataset_id, asset_id, op, md5, size, 100 + row_number() OVER (PARTITION BY dataset_id ORDER BY asset_id) AS scn FROM x""")
 def w16_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of two snapshots as a log."""
     a = views.assets(spark, sf_dir)
     after = a.where("scn % 7 <> 0").withColumn("size", F.when(F.col("scn") % 3 == 0, F.col("scn") - 1_000_000_000).otherwise(F.col("size")))
-    return changelog.snapshot_difference(a.where("scn % 5 <> 0"), after, ["dataset_id", "asset_id"], 100).select("dataset_id", "asset_id", "op", "scn")
+    return changelog.snapshot_difference(a.where("scn % 5 <> 0"), after, ["dataset_id", "asset_id"], 100).select(
+        "dataset_id", "asset_id", "op", *(F.get_json_object("payload", f"$.{k}").alias(k) for k in ("md5", "size")), "scn"
+    )
 
 
 @query(f"WITH a AS ({views.ASSETS_SQL}), x AS (SELECT dataset_id, max(scn) // 2 AS l, max(scn) FILTER (archived = 0) AS d FROM a GROUP BY ALL) SELECT dataset_id, CASE WHEN l > 0 THEN least(l, coalesce(d, 0)) ELSE coalesce(d, 0) END AS last_scn FROM x")
