@@ -6,10 +6,13 @@ when each adjacent pair of tokens stays apart on its own. That makes the encoder
 a configuration is a node of the vocabulary's trie (the bytes read of a token not yet ended) with the tokens
 chosen before it. The set of live configurations is one determinised state; the tokens that all of them
 share are emitted. A configuration dies after at most the longest token's bytes, so lookahead is bounded.
-States and transitions are made when a text first needs them and forgotten beyond ``MAX_STATES``.
+A pre-token follows the transitions made so far; where one is missing, it runs on bare configurations, found by
+the trie's automaton, or, every ``MAKE_EVERY``-th time, makes its transitions: so states are made where many
+pre-tokens pass, and a long one (``LONG_WORD``) makes all of its own. All memories are bounded
+(``MAX_STATES``, ``MAX_PAIRS``, ``MAX_WORDS``: some 90 MB together) and freed when a task ends.
 
 Decoding. :class:`Utf8Stream` carries the incomplete bytes of a character from token to token through a
-byte-wise UTF-8 automaton; its transitions by token are memoised too.
+byte-wise UTF-8 automaton; its transitions by token are memoised too (at most one a token and state).
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import gc
 from array import array
 from itertools import chain, islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -32,7 +36,14 @@ PATTERN = (
     r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MAX_STATES, MAX_WORDS, LONG_TEXT = 300_000, 350_000, 1 << 20
+#: States of the transducer, pairs judged and pre-tokens kept (twice, a younger and an older memory) at most.
+MAX_STATES, MAX_PAIRS, MAX_WORDS = 20_000, 150_000, 120_000
+#: Characters above which a text is encoded part by part; bytes above which a pre-token makes all its states.
+LONG_TEXT, LONG_WORD = 1 << 20, 256
+#: Of so many pre-tokens that miss a transition one makes its own.
+MAKE_EVERY = 16
+#: Rows whose tokens are held at once.
+ROWS_AT_ONCE = 1000
 NEVER = 1 << 60
 
 
@@ -58,8 +69,19 @@ class Encoder:
                 node = trie.setdefault(node << 8 | b, len(trie) + 1)
             token_at[node] = rank
         self.edges = {at: (node, token_at.get(node, -1), node in parents) for at, node in trie.items()}
-        self.pairs: dict[int, bool] = {}
+        #: the trie with links to the longest shorter ending
+        self.ending = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.ending.add_word(token.decode("latin-1"), (len(token), rank))
+        self.ending.make_automaton()
         self.halves: dict[int, tuple[int, int] | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Free all memories; the vocabulary's own tables stay."""
+        self.missed = 0
+        self.pairs: dict[int, bool] = {}
+        self.spines: tuple[dict[int, list], dict[int, list]] = {}, {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self._reset()
@@ -75,21 +97,28 @@ class Encoder:
     # --- which tokens may follow each other -----------------------------------------------------------
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
-        """(piece, rank at which it appears, rank at which it is merged away), from the token down one side."""
-        out, death = [], NEVER
-        while True:
-            data = self.bytes[token]
-            out.append((token, -1 if len(data) == 1 else token, death))
-            if len(data) == 1:
-                return out
-            death, token = token, self._halves(token)[side]
+        """(bytes, rank at which they appear, rank at which they are merged away), from the token down one side."""
+        memory, whole = self.spines[side], token
+        out = memory.get(whole)
+        if out is None:
+            out, death = [], NEVER
+            while True:
+                data = self.bytes[token]
+                out.append((data, -1 if len(data) == 1 else token, death))
+                if len(data) == 1:
+                    break
+                death, token = token, self._halves(token)[side]
+            if len(memory) >= MAX_STATES:
+                memory.clear()
+            memory[whole] = out
+        return out
 
     def _apart(self, left: int, right: int, below: int = NEVER) -> bool:
         """Whether merging never joins bytes across the boundary, seeing only merges of rank under ``below``."""
-        for a, born_a, dead_a in self._spine(left, 1):
-            head = self.bytes[a]
-            for b, born_b, dead_b in self._spine(right, 0):
-                m = self.ranks.get(head + self.bytes[b])
+        ranks, tails = self.ranks.get, self._spine(right, 0)
+        for head, born_a, dead_a in self._spine(left, 1):
+            for tail, born_b, dead_b in tails:
+                m = ranks(head + tail)
                 if m is not None and m < below:
                     when = max(m, born_a, born_b)
                     if when < dead_a and when <= dead_b:
@@ -115,12 +144,10 @@ class Encoder:
         return len(self.bytes[token]) == 1 or self._halves(token) is not None
 
     def _may_follow(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 4 * MAX_STATES:
-                self.pairs.clear()
-            known = self.pairs[key] = self._reachable(right) and self._apart(left, right)
+        """Whether merging leaves ``right`` whole beside ``left`` (-1: at the beginning)."""
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self._reachable(right) and (left < 0 or self._apart(left, right))
         return known
 
     # --- the transducer -------------------------------------------------------------------------------
@@ -145,7 +172,7 @@ class Encoder:
             node, token, goes_on = after
             if token >= 0 and ended is None:
                 left = chosen[-1] if chosen else last
-                fits = self._reachable(token) if left < 0 else pairs(left << 32 | token)
+                fits = pairs(left << 32 | token)
                 if fits is None:
                     fits = self._may_follow(left, token)
                 if fits:
@@ -171,12 +198,48 @@ class Encoder:
         out = self.moves[state << 8 | byte] = self._state(last, tuple(live)), emitted
         return out
 
+    def _whole(self, data: bytes) -> list[int]:
+        """Tokens of one pre-token by its configurations, without making states.
+
+        The automaton tells the tokens that end at each byte, longest first. The last token of a beginning is the first
+        of these that may follow the last token of what precedes it; beginnings that no choice asks for are skipped.
+        """
+        ends: list[list] = [[] for _ in data]
+        for end, found in self.ending.iter(data.decode("latin-1")):
+            ends[end].append(found)
+        known: list[int | None] = [-1, *[None] * len(data)]
+        out, at = [], len(data)
+        while at:
+            token = known[at]
+            if token is None:
+                token = self._last(at, ends, known)
+            out.append(token)
+            at -= len(self.bytes[token])
+        return out[::-1]
+
+    def _last(self, at: int, ends: list[list], known: list[int | None]) -> int:
+        """The last token of the first ``at`` bytes."""
+        pairs = self.pairs.get
+        for size, token in ends[at - 1]:
+            left = known[at - size]
+            if left is None:
+                left = self._last(at - size, ends, known)
+            fits = pairs(left << 32 | token)
+            if self._may_follow(left, token) if fits is None else fits:
+                break
+        known[at] = token
+        return token
+
     def encode_bytes(self, data: bytes) -> list[int]:
         """Tokens of one pre-token, in time linear in its length."""
-        state, out, move = 0, [], self.moves.get
-        for b in data:
+        state, out, move, long = 0, [], self.moves.get, len(data) > LONG_WORD
+        for k, b in enumerate(data):
             after = move(state << 8 | b)
             if after is None:
+                if not long:
+                    self.missed += 1
+                    if self.missed % MAKE_EVERY:
+                        return self._whole(data)
                 after = self._step(state, b)
                 move = self.moves.get
             state, emitted = after
@@ -241,6 +304,8 @@ class Utf8Stream:
     def __init__(self, token_bytes: dict[int, bytes]):
         self.token_bytes = token_bytes
         self.moves: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
+        #: what a token alone becomes that begins and ends between characters
+        self.whole: dict[int, str] = {}
         self.pending = b""
 
     def _run(self, data: bytes) -> tuple[str, bytes]:
@@ -263,13 +328,23 @@ class Utf8Stream:
 
     def feed(self, tokens) -> str:
         """Text that is certain after ``tokens``."""
-        out, moves, pending = [], self.moves, self.pending
+        if not self.pending:
+            out = list(map(self.whole.get, tokens))
+            if None not in out:
+                return "".join(out)
+            begin = out.index(None)
+            out = out[:begin]
+        else:
+            begin, out = 0, []
+        moves, pending = self.moves, self.pending
         row = moves[pending]
-        for t in tokens:
+        for t in tokens[begin:] if begin else tokens:
             move = row.get(t)
             if move is None:
                 move = row[t] = self._run(pending + self.token_bytes[t])
                 moves.setdefault(move[1], {})
+                if not pending and not move[1]:
+                    self.whole[t] = move[0]
             text, after = move
             out.append(text)
             if after != pending:
@@ -287,44 +362,58 @@ class Utf8Stream:
 _encoders: dict[str, tuple[Encoder, Utf8Stream]] = {}
 
 
-def load_encoder(path: str) -> tuple[Encoder, Utf8Stream]:
-    """The encoder and decoder of a rank file (base64 token, rank), kept for the life of the process."""
+def read_ranks(path: str) -> bytes:
+    """The bytes of a rank file (lines of base64 token and rank), read on the driver and sent to the tasks."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def load_encoder(path: str, data: bytes | None = None) -> tuple[Encoder, Utf8Stream]:
+    """The encoder and decoder of a rank file, or of its bytes; their tables are kept for the life of the process."""
     if path not in _encoders:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (data or read_ranks(path)).splitlines())}
         encoder = Encoder(ranks)
         _encoders[path] = encoder, Utf8Stream(encoder.bytes)
     return _encoders[path]
 
 
-def _encode_batches(batches, path: str, keep: list[str], text_at: str, check: bool):
-    encoder, stream = load_encoder(path)
+def _encode_batches(batches, path: str, ranks, keep: list[str], text_at: str, check: bool):
+    encoder, stream = load_encoder(path, ranks.value)
+    collecting = gc.isenabled()
     gc.disable()  # the memories hold no cycles, and looking for some among them takes longer than encoding
-    for batch in batches:
-        flat, ends, exact, sizes = array("i"), [0], [], []
-        null = np.zeros(batch.num_rows, dtype=bool)
-        for k, text in enumerate(batch.column(text_at)):
-            text = text.as_py()
-            if text is None:
-                null[k] = True
-                exact.append(None)
-                sizes.append(None)
-            else:
-                before = len(flat)
-                encoder.encode(text, flat)
-                sizes.append(len(flat) - before)
-                exact.append(stream.feed(flat[before:]) + stream.end() == text if check else None)
-            ends.append(len(flat))
-        values = pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else np.zeros(0, dtype=np.int32))
-        tokens = pa.ListArray.from_arrays(
-            pa.array(ends, type=pa.int32(), mask=np.append(null, False)), values
-        )
-        cols = [batch.column(c) for c in keep] + [pa.array(sizes, type=pa.int32()), tokens]
-        names = [*keep, "n_tokens", "tokens"]
-        if check:
-            cols.append(pa.array(exact, type=pa.bool_()))
-            names.append("exact")
-        yield pa.RecordBatch.from_arrays(cols, names=names)
+    try:
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield _encode_rows(encoder, stream, batch.slice(k, ROWS_AT_ONCE), keep, text_at, check)
+    finally:
+        encoder.forget()
+        if collecting:
+            gc.enable()
+
+
+def _encode_rows(encoder: Encoder, stream: Utf8Stream, batch, keep: list[str], text_at: str, check: bool):
+    flat, ends, exact, sizes = array("i"), [0], [], []
+    null = np.zeros(batch.num_rows, dtype=bool)
+    for k, text in enumerate(batch.column(text_at)):
+        text = text.as_py()
+        if text is None:
+            null[k] = True
+            exact.append(None)
+            sizes.append(None)
+        else:
+            before = len(flat)
+            encoder.encode(text, flat)
+            sizes.append(len(flat) - before)
+            exact.append(stream.feed(flat[before:]) + stream.end() == text if check else None)
+        ends.append(len(flat))
+    values = pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else np.zeros(0, dtype=np.int32))
+    tokens = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32(), mask=np.append(null, False)), values)
+    cols = [batch.column(c) for c in keep] + [pa.array(sizes, type=pa.int32()), tokens]
+    names = [*keep, "n_tokens", "tokens"]
+    if check:
+        cols.append(pa.array(exact, type=pa.bool_()))
+        names.append("exact")
+    return pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def encode_column(
@@ -337,13 +426,16 @@ def encode_column(
     """Add ``n_tokens``, ``tokens`` and (with ``check``) ``exact``: whether decoding gives the text back.
 
     ``keep`` names the columns carried along (default: all but the text and the added names). Null text gives
-    null in all added columns; empty text gives no tokens and is exact. Columns of the input that are called
-    like an added one are replaced. Rows are independent: repeated rows give repeated results, an empty table
-    an empty one. No shuffle; one scan.
+    null in all added columns; empty text gives no tokens and is exact; a text of any length is encoded whole.
+    Columns of the input that are called like an added one are replaced. Rows are independent: there are no ties,
+    repeated rows give repeated results, an empty table an empty one. No shuffle; one scan. The vocabulary is read
+    on the driver and broadcast (its file's size, whatever the corpus).
     """
     added = {"n_tokens", "tokens", "exact"}
     keep = [c for c in (keep or docs.columns) if c not in added and c != text]
-    ensure_importable(docs.sparkSession)
+    spark = docs.sparkSession
+    ensure_importable(spark)
+    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     fields = [docs.schema[c] for c in keep] + [
         T.StructField("n_tokens", T.IntegerType()),
         T.StructField("tokens", T.ArrayType(T.IntegerType())),
@@ -352,19 +444,25 @@ def encode_column(
         fields.append(T.StructField("exact", T.BooleanType()))
 
     def run(batches):
-        return _encode_batches(batches, vocabulary, keep, text, check)
+        return _encode_batches(batches, vocabulary, ranks, keep, text, check)
 
     return docs.select(*keep, text).mapInArrow(run, T.StructType(fields))
 
 
 def decode_column(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, tokens: str = "tokens") -> DataFrame:
-    """Add ``decoded``: the text of the token ids. Null ids give null; unknown ids raise an error."""
-    ensure_importable(df.sparkSession)
+    """Add ``decoded``: the text of the token ids.
+
+    Null ids give null, no ids an empty text, unknown ids an error. Bytes that are not UTF-8 become U+FFFD. Rows
+    are independent; an empty table gives an empty one; a column called ``decoded`` is replaced.
+    """
+    spark = df.sparkSession
+    ensure_importable(spark)
+    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     keep = [c for c in df.columns if c != "decoded"]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        _, stream = load_encoder(vocabulary)
+        _, stream = load_encoder(vocabulary, ranks.value)
         for batch in batches:
             ids = batch.column(tokens)
             out = [None if x is None else stream.feed(x) + stream.end() for x in ids.to_pylist()]
