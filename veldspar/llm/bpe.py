@@ -18,6 +18,7 @@ byte-wise UTF-8 automaton; its transitions by token are memoised too (at most on
 from __future__ import annotations
 
 import base64
+import ctypes
 import gc
 from array import array
 from itertools import chain, islice
@@ -377,6 +378,14 @@ def load_encoder(path: str, data: bytes | None = None) -> tuple[Encoder, Utf8Str
     return _encoders[path]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can, so that later stages in this worker have it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _encode_batches(batches, path: str, ranks, keep: list[str], text_at: str, check: bool):
     encoder, stream = load_encoder(path, ranks.value)
     collecting = gc.isenabled()
@@ -389,6 +398,7 @@ def _encode_batches(batches, path: str, ranks, keep: list[str], text_at: str, ch
         encoder.forget()
         if collecting:
             gc.enable()
+        _give_back()
 
 
 def _encode_rows(encoder: Encoder, stream: Utf8Stream, batch, keep: list[str], text_at: str, check: bool):
