@@ -420,10 +420,10 @@ def a12_diverged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.diverged(log, views.cursors(spark, log)).select("dataset_id", "last_scn")
 
 
-@query(f"SELECT dataset_id, md5 FROM ({views.ASSETS_SQL}) WHERE archived = 0 AND md5 IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0) GROUP BY ALL")
+@query(f"SELECT dataset_id, md5 FROM ({views.ASSETS_SQL}) WHERE archived = 0 AND md5 IN (SELECT md5(text) FROM documents) GROUP BY ALL")
 def f15_known_md5s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of the even documents' hashes live assets have."""
-    wanted = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.md5("text").alias("md5"))
+    """Which of the documents' hashes live assets have."""
+    wanted = table(spark, sf_dir, "documents").select(F.md5("text").alias("md5"))
     return admin.known_md5s(views.assets(spark, sf_dir), wanted).select("dataset_id", "md5")
 
 
@@ -484,11 +484,13 @@ def l9_index_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.index_assets(_scanned(spark, sf_dir), stored, counters).assets.select("dataset_id", "asset_id", "md5", "scn", "archived")
 
 
-@query(f"WITH a AS ({views.ASSETS_SQL}) SELECT dataset_id, asset_id FROM a WHERE scn % 2 = 0 AND NOT EXISTS (SELECT 1 FROM a b WHERE b.archived = 0 AND b.scn % 2 = 1 AND b.dataset_id = a.dataset_id AND b.md5 = a.md5)")
+@query(f"""WITH a AS ({views.ASSETS_SQL}), f AS (SELECT dataset_id, asset_id, CASE WHEN scn % 2 = 0 THEN md5 || 'x' ELSE md5 END AS md5 FROM a)
+SELECT dataset_id, asset_id FROM f WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.archived = 0 AND a.dataset_id = f.dataset_id AND a.md5 = f.md5)""")
 def j6_new_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose content no live asset has."""
+    """Files whose content no live asset has; every other one has changed since it was stored."""
     a = views.assets(spark, sf_dir)
-    return indexing.skip_known_content(a.where("scn % 2 = 0"), a.where("scn % 2 = 1")).select("dataset_id", "asset_id")
+    files = a.withColumn("md5", F.when(F.col("scn") % 2 == 0, F.concat("md5", F.lit("x"))).otherwise(F.col("md5")))
+    return indexing.skip_known_content(files, a).select("dataset_id", "asset_id")
 
 
 @query(f"WITH a AS ({views.ASSETS_SQL}) SELECT dataset_id, asset_id FROM a WHERE scn % 3 <> 0 OR scn % 5 = 0")
@@ -503,13 +505,15 @@ def j7_matches_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH a AS ({views.ASSETS_SQL}) SELECT dataset_id, asset_id, CASE WHEN scn % 3 = 0 THEN 'n' || md5 ELSE md5 END AS md5, CASE WHEN scn % 3 = 0 THEN scn + 7 ELSE scn END AS scn
-FROM a WHERE scn % 2 = 0 OR scn % 3 = 0""")
+FROM a UNION ALL SELECT dataset_id, asset_id || '-new', 'n' || md5, scn + 7 FROM a WHERE scn % 3 <> 0""")
 def w3_upsert_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assets with newer rows upserted; the last of repeated ones wins."""
+    """Assets with a newer row for each upserted, some under new ids; the last of repeated ones wins."""
     a = views.assets(spark, sf_dir)
-    new = a.where("scn % 3 = 0").withColumn("md5", F.concat(F.lit("n"), "md5")).withColumn("scn", F.col("scn") + 7)
+    known = F.col("scn") % 3 == 0
+    new = a.withColumn("asset_id", F.when(known, F.col("asset_id")).otherwise(F.concat("asset_id", F.lit("-new"))))
+    new = new.withColumn("md5", F.concat(F.lit("n"), "md5")).withColumn("scn", F.col("scn") + 7)
     twice = new.unionByName(new.withColumn("md5", F.lit("older")).withColumn("scn", F.col("scn") - 1))
-    return up.upsert(a.where("scn % 2 = 0"), twice, up.ASSET_KEY).select("dataset_id", "asset_id", "md5", "scn")
+    return up.upsert(a, twice, up.ASSET_KEY).select("dataset_id", "asset_id", "md5", "scn")
 
 
 @query(f"WITH d AS ({views.CHUNKS_SQL}) SELECT id, CASE WHEN scn % 4 = 0 THEN 1 ELSE archived END AS archived, CASE WHEN scn % 4 = 0 THEN 999999999 ELSE scn END AS scn FROM d")
